@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -78,7 +77,3 @@ def _remove_written() -> None:
         except Exception:  # the session may already be gone
             pass
 
-
-def tokenizer_dir() -> str:
-    """Where the public vocabulary files lie; ``PUBLIC_TOKENIZERS`` overrides the default."""
-    return os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
