@@ -7,10 +7,23 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .cooccurrence import pair_counts, plain_path
+from .neighbours import nearest, referenced_vectors
 from .oracle import ORACLE  # noqa: F401
 from .topn import top_partners
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar vectors of other nodes with a cosine of 0.88 or more, of each referenced vector."""
+    vectors = referenced_vectors(table(spark, sf_dir, "spill_vectors"), table(spark, sf_dir, "embedding_vector_spill"), table(spark, sf_dir, "cached_embedding_meta"))
+    return nearest(vectors, k=5, least=0.88)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one takes the other as one of its nearest."""
+    near = p1_neighbours(spark, sf_dir)
+    return near.select(F.least("id", "other").alias("vector_a"), F.greatest("id", "other").alias("vector_b")).distinct()
+
+
 def p3_pairs(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
     commits = table(spark, sf_dir, "commits").select("repo", "commit_id", plain_path(F.col("file")).alias("file"))
     return pair_counts(commits, "repo", "commit_id", "file", max_basket=50, **limits)
@@ -44,4 +57,7 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_top(spark, sf_dir).select("repo", "file_a", "file_b", "strength", "change_count", "rank")
 
 
-QUERIES = {"p3_found": p3_found, "p3_strength": p3_strength, "p4_found": p4_found, "p4_ranked": p4_ranked}
+QUERIES = {
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours,
+    "p3_found": p3_found, "p3_strength": p3_strength, "p4_found": p4_found, "p4_ranked": p4_ranked,
+}
