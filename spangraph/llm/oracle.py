@@ -43,6 +43,11 @@ ORACLE = {
     "p3_found": _P3.format(support=5) + "select repo, file_a, file_b from scored where often",
     "p3_strength": _P3.format(support=3)
     + "select repo, file_a, file_b, c as change_count, round(strength, 6) as strength, round(lift, 6) as lift from scored where strength >= 0.3",
+    "p6_found": """
+select id as node_id from (
+  select id, content, row_number() over (partition by id order by indexed_at desc nulls last, length(content) desc nulls last, content desc) as r
+  from nodes where id is not null) where r = 1 and length(content) > 1200""",
+    "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p4_found": _P4.format(columns="repo, file_a, file_b"),
     "p4_ranked": _P4.format(columns="repo, file_a, file_b, strength, change_count, rank"),
 }

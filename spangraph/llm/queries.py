@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from .chunking import current_long_texts, split_text
 from .cooccurrence import pair_counts, plain_path
+from .handwritten import not_handwritten
 from .neighbours import nearest, referenced_vectors
 from .oracle import ORACLE  # noqa: F401
+from .tokenizer import decode, encode
 from .topn import top_partners
 
 
@@ -24,6 +27,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("vector_a"), F.greatest("id", "other").alias("vector_b")).distinct()
 
 
+def p6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all node contents over 1,200 characters, with up to 120 characters of overlap."""
+    return split_text(current_long_texts(table(spark, sf_dir, "nodes"), 1200), "id", "content", "start_line").withColumnRenamed("id", "node_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that come out as more than one piece."""
+    return p6_chunks(spark, sf_dir).filter("chunk_index > 0").select("node_id").distinct()
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids by byte_bpe_50k."""
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text back from its ids; null comes back as the empty text."""
+    return decode(p7_ids(spark, sf_dir), "ids")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned files that are generated, minified, third-party or data."""
+    return not_handwritten(table(spark, sf_dir, "why_ignored_result"), table(spark, sf_dir, "nodes"))
+
+
 def p3_pairs(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
     commits = table(spark, sf_dir, "commits").select("repo", "commit_id", plain_path(F.col("file")).alias("file"))
     return pair_counts(commits, "repo", "commit_id", "file", max_basket=50, **limits)
@@ -59,5 +87,6 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-    "p3_found": p3_found, "p3_strength": p3_strength, "p4_found": p4_found, "p4_ranked": p4_ranked,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_strength": p3_strength, "p4_found": p4_found, "p4_ranked": p4_ranked,
+    "p6_found": p6_found, "p6_chunks": p6_chunks, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
 }
