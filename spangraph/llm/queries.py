@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import materialise, table
 from .chunking import current_long_texts, split_text
 from .cooccurrence import pair_counts, plain_path
 from .handwritten import not_handwritten
+from .lookalike import consistent, same_looking_pairs
 from .neighbours import nearest, referenced_vectors
 from .oracle import ORACLE  # noqa: F401
 from .tokenizer import decode, encode
@@ -85,8 +86,21 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_top(spark, sf_dir).select("repo", "file_a", "file_b", "strength", "change_count", "rank")
 
 
+def p9_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    return consistent(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.col("consistent").alias("text"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that look the same and differ in their characters."""
+    docs = consistent(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = docs.filter("doc_id is not null and consistent rlike '\\\\S'").select("doc_id", "look", "exact")
+    return same_looking_pairs(materialise(docs, "looks"), "doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p3_found": p3_found, "p3_strength": p3_strength, "p4_found": p4_found, "p4_ranked": p4_ranked,
     "p6_found": p6_found, "p6_chunks": p6_chunks, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
+    "p9_found": p9_found, "p9_consistent": p9_consistent,
 }
