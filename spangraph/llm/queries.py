@@ -10,9 +10,10 @@ from .chunking import current_long_texts, split_text
 from .cooccurrence import pair_counts, plain_path
 from .handwritten import not_handwritten
 from .lookalike import consistent, same_looking_pairs
+from .mixing import mix, shares
 from .neighbours import nearest, referenced_vectors
 from .oracle import ORACLE  # noqa: F401
-from .tokenizer import decode, encode
+from .tokenizer import decode, encode, token_counts
 from .topn import top_partners
 
 
@@ -86,6 +87,21 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_top(spark, sf_dir).select("repo", "file_a", "file_b", "strength", "change_count", "rank")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return mix(materialise(docs, "sizes"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document occurs in the mix, sizes in tokens of byte_bpe_50k."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the sources reach."""
+    return shares(*_mix(spark, sf_dir))
+
+
 def p9_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in its consistent form."""
     return consistent(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.col("consistent").alias("text"))
@@ -102,5 +118,5 @@ QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p3_found": p3_found, "p3_strength": p3_strength, "p4_found": p4_found, "p4_ranked": p4_ranked,
     "p6_found": p6_found, "p6_chunks": p6_chunks, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
-    "p9_found": p9_found, "p9_consistent": p9_consistent,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_consistent": p9_consistent,
 }
