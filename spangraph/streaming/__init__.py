@@ -1 +1,49 @@
-"""See README for the operator list."""
+"""Change-driven refresh with Structured Streaming, and event windows as an extension."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.incremental import VersionedState, advance
+
+# Pending paths beyond which everything is refreshed, and the longest wait of the reference's queue.
+MOST_PENDING, MAX_WAIT_S = 1000, 2
+
+
+def refresh(stream: DataFrame, state: VersionedState, apply: Callable[[DataFrame, int, bool], None], *, key: str, stamp: list[str], hash_: str, checkpoint: str, wait_s: float = MAX_WAIT_S, available_now: bool = False) -> StreamingQuery:
+    """Run ``apply(changed, batch, full)`` for each micro-batch with the records that are new or changed.
+
+    One batch is active at a time. A batch with over ``MOST_PENDING`` changed records asks for a full
+    refresh. The versions of the state are the batch numbers, so a batch that the engine repeats
+    after a failure applies nothing twice to the state and hands over the same changes again.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        changed = advance(state, df.select(key, *stamp, hash_), number, key, stamp, hash_)
+        full = changed.limit(MOST_PENDING + 1).count() > MOST_PENDING
+        apply(changed, number, full)
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{max(wait_s, MAX_WAIT_S)} seconds")
+    return writer.start()
+
+
+def event_windows(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Counts and sums by event type and window; events later than ``late`` are dropped on a stream. An extension."""
+    windowed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        windowed = windowed.withWatermark("ts", late)
+    w = F.window("ts", length, slide) if slide else F.window("ts", length)
+    return windowed.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of each user that end after a gap. An extension."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        timed = timed.withWatermark("ts", late)
+    return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
