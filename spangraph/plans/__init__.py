@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["incremental"]
+SUBJECTS = ["incremental", "relational", "graph"]
 
 
 def catalogue() -> tuple[dict, dict]:
