@@ -90,12 +90,12 @@ def grep(df: DataFrame, key: str, text: str, pattern: str, *, literal: bool = Fa
 
 def utf8_cut(text: Column, budget: int) -> Column:
     """The longest prefix of a text of at most ``budget`` UTF-8 bytes that ends at a character border."""
-    codes = F.encode(F.substring(text, 1, budget), "UTF-8")
-    # cut bytes, and drop the pieces of a character that the cut has parted
-    cut = F.decode(F.substring(codes, 1, budget), "UTF-8")
-    shorter = F.when(F.octet_length(text) <= budget, text)
-    whole = F.regexp_replace(cut, "�+$", "")
-    return F.coalesce(shorter, whole)
+    codes = F.encode(text, "UTF-8")
+    inside = lambda i: F.hex(F.substring(codes, i, 1)).between("80", "BF")  # noqa: E731  a byte that doesn't begin a character
+    cut = F.lit(max(budget - 3, 0))
+    for back in (2, 1, 0):
+        cut = F.when(~inside(budget - back + 1), F.lit(budget - back)).otherwise(cut)
+    return F.when(F.octet_length(text) <= budget, text).otherwise(F.substring(codes, F.lit(1), cut).cast("string"))
 
 
 def half_up(x: Column, digits: int) -> Column:
