@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["incremental", "relational", "graph", "search"]
+SUBJECTS = ["incremental", "relational", "graph", "search", "changes", "program"]
 
 
 def catalogue() -> tuple[dict, dict]:
