@@ -1,30 +1,69 @@
 """Program dependence: orders, dominance, control and data dependence of each function's flow graph, and taint.
 
-A flow graph has ``fn_id, src_block, dst_block, kind``; block 0 is the entry. Everything that is
-inherently sequential within one function runs on that function's rows alone (``applyInPandas``);
-what crosses functions are joins.
+A flow graph has ``fn_id, src_block, dst_block, kind``; block 0 is the entry. What is inherently
+sequential within one function gets that function's edges as one row of arrays, many functions an
+Arrow batch; what crosses functions are joins.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..runtime import materialise
 
 EXIT = -1
 
 
-def _graph(pdf: pd.DataFrame) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+def per_function(rows: DataFrame, lists: dict[str, list[str]], work: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """Run ``work(fn_id, *lists)`` for each row; a list column is given as tuples of the named fields."""
+    out = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            parts = []
+            for name, fields in lists.items():
+                column = batch.column(name)
+                flat = column.flatten()
+                values = list(zip(*(flat.field(f).to_pylist() for f in fields)))
+                ends = pc.list_value_length(column).fill_null(0).to_pylist()
+                at, cut = 0, []
+                for n in ends:
+                    cut.append(values[at : at + n])
+                    at += n
+                parts.append(cut)
+            for fn, *own in zip(batch.column("fn_id").to_pylist(), *parts):
+                made.extend(work(fn, *own))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made), arrow)], schema=arrow)
+
+    return rows.select("fn_id", *lists).mapInArrow(run, out)
+
+
+def _edges(cfg: DataFrame) -> DataFrame:
+    return cfg.groupBy("fn_id").agg(F.collect_list(F.struct("src_block", "dst_block", "kind")).alias("e"))
+
+
+_EDGE = {"e": ["src_block", "dst_block", "kind"]}
+
+
+def _graph(edges: Iterable[tuple]) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
     out: dict[int, list[int]] = {0: []}
     back: dict[int, list[int]] = {0: []}
-    for a, b in sorted(set(zip(pdf["src_block"], pdf["dst_block"]))):
+    for a, b in sorted({e[:2] for e in edges}):
         for x in (a, b):
-            out.setdefault(int(x), [])
-            back.setdefault(int(x), [])
-        out[int(a)].append(int(b))
-        back[int(b)].append(int(a))
+            out.setdefault(x, [])
+            back.setdefault(x, [])
+        out[a].append(b)
+        back[b].append(a)
     return out, back
 
 
@@ -153,37 +192,75 @@ def post_dominators(out: dict[int, list[int]]) -> dict[int, int]:
 def block_facts(cfg: DataFrame) -> DataFrame:
     """``fn_id, block, position, idom, ipdom, frontier, component, escape`` of every block; position and idom null where unreachable."""
 
-    def facts(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, back = _graph(pdf)
+    def facts(fn: str, edges: list[tuple]) -> Iterator[tuple]:
+        out, back = _graph(edges)
         order = {b: i for i, b in enumerate(reverse_post_order(out))}
         idom = immediate_dominators(out, back)
         front, comp, ipdom = dominance_frontiers(idom, back), strong_components(out), post_dominators(out)
         escapes = with_exit(out)[1]
-        rows = [(pdf["fn_id"].iloc[0], b, order.get(b), idom.get(b) if b else None, ipdom.get(b), sorted(front.get(b, [])), comp[b], b in escapes) for b in sorted(out)]
-        made = pd.DataFrame(rows, columns=["fn_id", "block", "position", "idom", "ipdom", "frontier", "component", "escape"])
-        return made.astype({"position": "Int32", "idom": "Int32", "ipdom": "Int32"})
+        for b in sorted(out):
+            yield fn, b, order.get(b), idom.get(b) if b else None, ipdom.get(b), sorted(front.get(b, [])), comp[b], b in escapes
+
+    return per_function(_edges(cfg), _EDGE, facts, "fn_id string, block int, position int, idom int, ipdom int, frontier array<int>, component int, escape boolean")
 
-    return cfg.groupBy("fn_id").applyInPandas(facts, "fn_id string, block int, position int, idom int, ipdom int, frontier array<int>, component int, escape boolean")
+
+# How the kinds of branch edges are shown.
+BRANCH = {"cond-true": "T", "true": "T", "cond-false": "F", "false": "F"}
 
 
 def control_dependence(cfg: DataFrame, cap: int = 10_000) -> DataFrame:
-    """``fn_id, src_block, dst_block, label``: blocks that run or not by a branch of another; T, F or the kind of the branch edge."""
+    """``fn_id, src_block, dst_block, label``: blocks that run or not by a branch of another; T, F or the kind of the branch edge.
+
+    ``cap`` bounds the rows of one function, in the order of blocks, as the reference does.
+    """
 
-    def depend(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = _graph(pdf)
-        ipdom = post_dominators(out)
-        label = {"cond-true": "T", "true": "T", "cond-false": "F", "false": "F"}
+    def depend(fn: str, edges: list[tuple]) -> Iterator[tuple]:
+        ipdom = post_dominators(_graph(edges)[0])
         rows = set()
-        for a, b, kind in sorted(set(zip(pdf["src_block"], pdf["dst_block"], pdf["kind"].fillna("")))):
-            x, stop = int(b), ipdom.get(int(a))
-            while x != stop and x != EXIT and x is not None:
-                rows.add((int(a), x, label.get(kind, kind)))
+        for a, b, kind in {(a, b, k or "") for a, b, k in edges}:
+            x, stop = b, ipdom.get(a)
+            while x is not None and x != stop and x != EXIT:
+                rows.add((a, x, BRANCH.get(kind, kind)))
                 x = ipdom.get(x)
-        made = pd.DataFrame(sorted(rows)[:cap], columns=["src_block", "dst_block", "label"])
-        made.insert(0, "fn_id", pdf["fn_id"].iloc[0])
-        return made
-
-    return cfg.groupBy("fn_id").applyInPandas(depend, "fn_id string, src_block int, dst_block int, label string")
+        for row in sorted(rows)[:cap]:
+            yield fn, *row
+
+    return per_function(_edges(cfg), _EDGE, depend, "fn_id string, src_block int, dst_block int, label string")
+
+
+def _reach(edges: list[tuple], sites: list[tuple]) -> set[tuple]:
+    """(variable, def_block, def_line, use_block, use_line) of one function, by the usual fixpoint over blocks."""
+    out, back = _graph(edges)
+    by: dict[int, list[tuple]] = {}
+    for block, _, line, variable, kind in sorted(sites):
+        by.setdefault(block, []).append((line, variable, kind))
+        out.setdefault(block, [])
+        back.setdefault(block, [])
+    last = {b: {v: (b, line) for line, v, kind in s if kind == "def"} for b, s in by.items()}
+    ins: dict[int, set] = {b: set() for b in out}
+    order = reverse_post_order(out)
+    order += sorted(set(out) - set(order))
+    changed = True
+    while changed:
+        changed = False
+        for b in order:
+            got = set()
+            for p in back[b]:
+                gen = last.get(p, {})
+                got |= {(v, d) for v, d in ins[p] if v not in gen} | set(gen.items())
+            if got != ins[b]:
+                ins[b], changed = got, True
+    rows = set()
+    for b, here in by.items():
+        live: dict[str, set] = {}
+        for v, d in ins[b]:
+            live.setdefault(v, set()).add(d)
+        for line, v, kind in here:
+            if kind == "use":
+                rows |= {(v, *d, b, line) for d in live.get(v, ())}
+            else:
+                live[v] = {(b, line)}
+    return rows
 
 
 def reaching_definitions(cfg: DataFrame, accesses: DataFrame) -> DataFrame:
@@ -191,44 +268,15 @@ def reaching_definitions(cfg: DataFrame, accesses: DataFrame) -> DataFrame:
 
     ``accesses`` has ``fn_id, block, seq, line, variable, kind`` (``def`` or ``use``) in statement order.
     """
-    both = cfg.groupBy("fn_id").agg(F.collect_list(F.struct("src_block", "dst_block")).alias("e"))
     sites = accesses.groupBy("fn_id").agg(F.collect_list(F.struct("block", "seq", "line", "variable", "kind")).alias("a"))
+    joined = sites.join(_edges(cfg), "fn_id", "left")
+
+    def reach(fn: str, edges: list[tuple], own: list[tuple]) -> Iterator[tuple]:
+        for row in sorted(_reach(edges, own)):
+            yield fn, *row
 
-    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for fn, edges, acc in zip(pdf["fn_id"], pdf["e"], pdf["a"]):
-            out, back = _graph(pd.DataFrame([(e["src_block"], e["dst_block"]) for e in (edges if edges is not None else [])], columns=["src_block", "dst_block"]))
-            by: dict[int, list] = {}
-            for a in sorted(acc, key=lambda a: (a["block"], a["seq"])):
-                by.setdefault(int(a["block"]), []).append(a)
-                out.setdefault(int(a["block"]), [])
-                back.setdefault(int(a["block"]), [])
-            last = {b: {a["variable"]: (b, int(a["line"])) for a in s if a["kind"] == "def"} for b, s in by.items()}
-            ins: dict[int, set] = {b: set() for b in out}
-            order = reverse_post_order(out) + [b for b in sorted(out) if b not in reverse_post_order(out)]
-            changed = True
-            while changed:
-                changed = False
-                for b in order:
-                    got = set()
-                    for p in back[b]:
-                        gen = last.get(p, {})
-                        got |= {(v, d) for v, d in ins[p] if v not in gen} | set(gen.items())
-                    if got != ins[b]:
-                        ins[b], changed = got, True
-            for b, sites_ in by.items():
-                live: dict[str, set] = {}
-                for v, d in ins[b]:
-                    live.setdefault(v, set()).add(d)
-                for a in sites_:
-                    if a["kind"] == "use":
-                        rows += [(fn, a["variable"], d[0], d[1], b, int(a["line"])) for d in sorted(live.get(a["variable"], []))]
-                    else:
-                        live[a["variable"]] = {(b, int(a["line"]))}
-        return pd.DataFrame(sorted(set(rows)), columns=["fn_id", "variable", "def_block", "def_line", "use_block", "use_line"])
-
-    joined = sites.join(both, "fn_id", "left")
-    return joined.groupBy("fn_id").applyInPandas(reach, "fn_id string, variable string, def_block int, def_line int, use_block int, use_line int")
+    lists = _EDGE | {"a": ["block", "seq", "line", "variable", "kind"]}
+    return per_function(joined, lists, reach, "fn_id string, variable string, def_block int, def_line long, use_block int, use_line long")
 
 
 def taint_within(flows: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, max_rounds: int = 64) -> DataFrame:
