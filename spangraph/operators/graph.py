@@ -63,6 +63,8 @@ def bfs(edges: DataFrame, anchors: DataFrame, *, up: bool = False, max_depth: in
     key = [*keep, "id"]
     a, b = ("dst", "src") if up else ("src", "dst")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).filter("id is not null and next is not null").distinct()
+    if max_depth > 1:  # every level reads them again
+        step = materialise(step, "bfs-edges")
     seen = materialise(anchors.select(*key).distinct().withColumn("depth", F.lit(0)), "bfs")
     frontier, partial = seen, False
     for depth in range(1, max_depth + 1):
@@ -85,17 +87,18 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 1
 
     Without a path: the furthest node reached, as ``hops`` with the path to it and ``found`` false.
     """
-    step = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    step = materialise(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "path-edges")
     spark = edges.sparkSession
     seen = materialise(spark.createDataFrame([(source, [source])], "id string, path array<string>").withColumn("hops", F.lit(0)), "path")
-    frontier = seen
+    frontier, there = seen, source == target
     for hops in range(1, max_depth + 1):
-        if frontier.filter(F.col("id") == target).limit(1).count():
+        if there:
             break
         reached = frontier.join(step, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("path").alias("p"))
         new = reached.select(F.col("dst").alias("id"), F.concat("p", F.array("dst")).alias("path"), F.lit(hops).alias("hops"))
         new = materialise(new.join(seen.select("id"), "id", "left_anti"), "path")
-        if not new.limit(1).count():
+        n, there = new.agg(F.count("*"), F.max(F.col("id") == target)).first()
+        if not n:
             break
         seen, frontier = seen.unionByName(new), new
     found = F.col("id") == target

@@ -279,26 +279,45 @@ def reaching_definitions(cfg: DataFrame, accesses: DataFrame) -> DataFrame:
     return per_function(joined, lists, reach, "fn_id string, variable string, def_block int, def_line long, use_block int, use_line long")
 
 
-def taint_within(flows: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _taint(flows: list[tuple], sources: list[tuple], sinks: set[tuple], off: dict[int, set]) -> Iterator[tuple]:
+    """(source_line, sink_line, kind, hops) of one function, by layers from each source and kind."""
+    step: dict[int, set[int]] = {}
+    for a, b in flows:
+        step.setdefault(a, set()).add(b)
+    for line, kind in sources:
+        seen, layer, hops = {line}, [line], 0
+        while layer:
+            hops += 1
+            layer = sorted({b for a in layer for b in step.get(a, ()) if b not in seen and kind not in off.get(b, ())})
+            seen.update(layer)
+            for b in layer:
+                if (b, kind) in sinks:
+                    yield line, b, kind, hops
+
+
+def taint_within(flows: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame) -> DataFrame:
     """``fn_id, source_line, sink_line, kind, hops``: sources that reach a sink of a kind that nothing on the way neutralises.
 
     ``flows`` has ``fn_id, variable, def_line, use_line`` steps, where a use at the line of the next
     definition carries on; ``sources`` and ``sinks`` have ``fn_id, line`` and ``kinds`` or ``kind``;
-    ``sanitizers`` has ``fn_id, line, kinds``. A place is visited again only with kinds it hasn't had.
+    ``sanitizers`` has ``fn_id, line, kinds``. A function's facts come together in one shuffle.
     """
-    clean = sanitizers.groupBy("fn_id", "line").agg(F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds_off"))
-    state = sources.select("fn_id", F.col("line").alias("source_line"), "line", F.explode("kinds").alias("kind")).distinct().withColumn("hops", F.lit(0))
-    seen = frontier = materialise(state, "taint")
-    step = materialise(flows.select("fn_id", F.col("def_line").alias("line"), F.col("use_line").alias("to")).distinct(), "taint")
-    for k in range(1, max_rounds + 1):
-        moved = frontier.join(step, ["fn_id", "line"]).select("fn_id", "source_line", F.col("to").alias("line"), "kind").distinct()
-        moved = moved.join(clean, ["fn_id", "line"], "left").filter("kinds_off is null or not array_contains(kinds_off, kind)").drop("kinds_off")
-        new = materialise(moved.join(seen, ["fn_id", "source_line", "line", "kind"], "left_anti").withColumn("hops", F.lit(k)), "taint")
-        if not new.limit(1).count():
-            break
-        seen, frontier = seen.unionByName(new), new
-    hits = seen.join(sinks.select("fn_id", "line", "kind"), ["fn_id", "line", "kind"]).filter("hops > 0")
-    return hits.groupBy("fn_id", "source_line", F.col("line").alias("sink_line"), "kind").agg(F.min("hops").alias("hops"))
+    none = F.lit(None).cast("string")
+    rows = flows.select("fn_id", F.lit("flow").alias("what"), F.col("def_line").alias("a"), F.col("use_line").alias("b"), none.alias("kind"))
+    for df, what, kind in ((sources, "source", F.explode("kinds")), (sinks, "sink", F.col("kind")), (sanitizers, "off", F.explode("kinds"))):
+        rows = rows.unionByName(df.select("fn_id", F.lit(what).alias("what"), F.col("line").alias("a"), F.lit(None).cast("long").alias("b"), kind.alias("kind")))
+    facts = rows.distinct().groupBy("fn_id").agg(F.collect_list(F.struct("what", "a", "b", "kind")).alias("f"), F.max(F.col("what") == "source").alias("s"), F.max(F.col("what") == "sink").alias("k"))
+
+    def spread(fn: str, own: list[tuple]) -> Iterator[tuple]:
+        off: dict[int, set] = {}
+        for what, a, _, kind in own:
+            if what == "off":
+                off.setdefault(a, set()).add(kind)
+        of = lambda w: [(a, k) for what, a, _, k in own if what == w]
+        for row in _taint([(a, b) for what, a, b, _ in own if what == "flow"], sorted(of("source")), set(of("sink")), off):
+            yield fn, *row
+
+    return per_function(facts.filter("s and k").select("fn_id", "f"), {"f": ["what", "a", "b", "kind"]}, spread, "fn_id string, source_line long, sink_line long, kind string, hops int")
 
 
 def taint_across(entries: DataFrame, param_calls: DataFrame, param_sinks: DataFrame, *, max_rounds: int = 32, cap: int = 1000) -> DataFrame:

@@ -145,8 +145,11 @@ def undirected_neighbours(s, d):
 
 
 def two_hop_chain(s, d):
-    a, b = supplies(s, d).select("src", "dst"), calls(s, d).filter("src like 'Part:%'").select(F.col("src").alias("dst"), F.col("dst").alias("far"))
-    return a.join(b, "dst").select("src", "far").distinct().groupBy("src").agg(F.count("*").alias("n"))
+    """Orders that each supplier reaches over its parts; joined by the integer keys."""
+    li = table(s, d, "lineitem")
+    a, b = li.select("l_suppkey", "l_partkey").distinct(), li.select("l_partkey", "l_orderkey").distinct()
+    far = a.join(b, "l_partkey").select("l_suppkey", "l_orderkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return far.select(F.concat(F.lit("Supplier:"), "l_suppkey").alias("src"), "n")
 
 
 def optional_counts(s, d):
