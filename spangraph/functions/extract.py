@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.routes import route_method, route_path
+
 # What adds a path through a Python function.
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 
@@ -146,3 +148,31 @@ def fold_operands(expressions: DataFrame, known: DataFrame) -> DataFrame:
     valued = named.select("expr_id", "n", "k", F.when(quoted, literal).otherwise(F.col("value")).alias("v")).filter("v is not null")
     done = valued.groupBy("expr_id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("p")).filter(F.size("p") == F.col("n"))
     return done.select("expr_id", F.array_join(F.transform("p", lambda x: x["v"]), "").alias("value"))
+
+
+# How frameworks declare routes: language ending, pattern, place of the method and of the path.
+ROUTE_PATTERNS = [
+    ("fastapi", "py", r"@\w+\.(get|post|put|patch|delete|head|options)\(\s*['\"]([^'\"]*)['\"]", 1, 2),
+    ("django", "py", r"\b(?:re_)?path\(\s*r?['\"]([^'\"]*)['\"]", 0, 1),
+    ("spring", "(?:java|kt)", r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"", 1, 2),
+    ("gin", "go", r"\b\w+\.(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\(\s*\"([^\"]*)\"", 1, 2),
+    ("express", "(?:js|ts|mjs)", r"\b(?:app|router)\.(get|post|put|patch|delete|head|options)\(\s*['\"`]([^'\"`]*)['\"`]", 1, 2),
+]
+# How a file gives all its routes a prefix.
+PREFIXES = {"fastapi": r"APIRouter\([^)]*prefix\s*=\s*['\"]([^'\"]*)['\"]", "spring": r"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"", "gin": r"\.Group\(\s*\"([^\"]*)\""}
+
+
+def framework_routes(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """``path, framework, method, url`` of routes that code declares, with the prefix of their file."""
+    out = None
+    for framework, ending, pattern, method, place in ROUTE_PATTERNS:
+        rows = files.filter(F.col(path).rlike(rf"\.{ending}$"))
+        found = F.arrays_zip(
+            (F.regexp_extract_all(text, F.lit(pattern), F.lit(method)) if method else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(place)), lambda x: F.lit("*"))).alias("m"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(place)).alias("u"),
+        )
+        prefix = F.regexp_extract(text, PREFIXES[framework], 1) if framework in PREFIXES else F.lit("")
+        rows = rows.select(F.col(path).alias("path"), F.lit(framework).alias("framework"), prefix.alias("prefix"), F.explode(found).alias("z"))
+        rows = rows.select("path", "framework", route_method(F.col("z.m")).alias("method"), route_path(F.col("z.u"), F.col("prefix")).alias("url"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()

@@ -343,3 +343,22 @@ def guards(dependences: DataFrame, blocks: DataFrame, fn_prefix: str | None = No
     rows = dependences.filter(F.col("fn_id").startswith(fn_prefix)) if fn_prefix else dependences
     b = blocks.select("fn_id", F.col("block").alias("src_block"), "text")
     return rows.join(b, ["fn_id", "src_block"]).groupBy("fn_id", F.col("src_block").alias("guard"), "text").agg(F.array_sort(F.collect_set("dst_block")).alias("guarded"))
+
+
+def guarded_lines(dependences: DataFrame, conditions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``fn_id, line, kinds``: lines that only run where a condition has proved a value harmless, as sanitizers for ``taint_within``.
+
+    ``conditions`` has ``fn_id, block, label, kinds``: on the branch with that label the guarded value
+    is safe for those kinds. A block counts if it depends on that branch and on no other label of it.
+    """
+    d = dependences.select("fn_id", F.col("src_block").alias("block"), F.col("dst_block"), "label")
+    one = d.groupBy("fn_id", "block", "dst_block").agg(F.countDistinct("label").alias("n"), F.first("label").alias("label")).filter("n = 1")
+    safe = one.join(conditions, ["fn_id", "block", "label"]).select("fn_id", F.col("dst_block").alias("block"), "kinds")
+    lines = blocks.select("fn_id", "block", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    return lines.join(safe, ["fn_id", "block"]).select("fn_id", "line", "kinds")
+
+
+def refine_values(flows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Flows without those whose definition is known to be a constant or a number (``fn_id, line, fact``), which carry no taint."""
+    known = facts.filter("fact in ('constant', 'number', 'boolean')").select("fn_id", F.col("line").alias("def_line")).distinct()
+    return flows.join(known, ["fn_id", "def_line"], "left_anti").select(*flows.columns)
