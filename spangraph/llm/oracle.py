@@ -1,5 +1,34 @@
 """DuckDB SQL that must give the same rows, for the queries that SQL can express on whole tables."""
 
+from __future__ import annotations
+
+import unicodedata
+
+from .lookalike import SHAPE
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _look_sql() -> str:
+    """SQL for the shapes of a text: composed, without invisible characters, with plain widths, ligatures and letters."""
+    wide = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFA0)]}
+    wide |= {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in (0xFF9E, 0xFF9F)}
+    several = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFB00, 0xFB07), *range(0x2160, 0x2180)]}
+    shapes = {}
+    for c in map(chr, range(0x80, 0x530)):  # letters with accents too
+        parts = unicodedata.normalize("NFD", c)
+        plain = unicodedata.normalize("NFC", SHAPE.get(parts[0], parts[0]) + parts[1:])
+        if plain != c and len(plain) == 1 and parts[0] in SHAPE:
+            shapes[c] = plain
+    sql = "regexp_replace(regexp_replace(text, '[\\p{Cf}\\x{34F}\\x{115F}\\x{1160}\\x{3164}\\x{FFA0}\\x{FE00}-\\x{FE0F}]', '', 'g'), '\\p{Zs}', ' ', 'g')"
+    sql = f"translate({sql}, {_quoted(''.join(wide))}, {_quoted(''.join(wide.values()))})"
+    for c, plain in several.items():
+        sql = f"replace({sql}, {_quoted(c)}, {_quoted(plain)})"
+    return f"translate(nfc_normalize({sql}), {_quoted(''.join(shapes))}, {_quoted(''.join(shapes.values()))})"
+
+
 _P3 = r"""
 with raw as (
   select repo, commit_id,
@@ -39,7 +68,29 @@ select {columns} from ranked r join (select option_set, max(top_partners) as top
 where rank <= top_partners
 """
 
+_P1 = """
+with sized as (
+  select distinct s.vector_index as id, s.spill_path, s.embedding::double[] as e, d.dims
+  from spill_vectors s join embedding_vector_spill d on d.path = s.spill_path and len(s.embedding) = d.dims),
+good as (
+  select * from sized
+  where list_bool_and(list_transform(e, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(e, lambda x: x <> 0))),
+refs as (select spill_path, vector_index, min(coalesce(node_id, '')) as node from cached_embedding_meta where vector_index is not null group by all),
+v as (select g.id, g.dims, g.e, r.node from good g join refs r on r.spill_path = g.spill_path and r.vector_index = g.id),
+near as (
+  select a.id as a, b.id as b, list_cosine_similarity(a.e, b.e) as c
+  from v a join v b on a.dims = b.dims and a.node <> b.node),
+taken as (
+  select a, b from near where c >= 0.88 qualify row_number() over (partition by a order by c desc, b) <= 5)
+select distinct least(a, b) as vector_a, greatest(a, b) as vector_b from taken
+"""
+
 ORACLE = {
+    "p1_found": _P1,
+    "p9_found": f"""
+with looks as (select doc_id, text, {_look_sql()} as look from documents where text is not null and doc_id is not null)
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from looks a join looks b on a.look = b.look and a.text <> b.text and a.doc_id < b.doc_id
+where regexp_matches(a.look, '[^\\s]')""",
     "p3_found": _P3.format(support=5) + "select repo, file_a, file_b from scored where often",
     "p3_strength": _P3.format(support=3)
     + "select repo, file_a, file_b, c as change_count, round(strength, 6) as strength, round(lift, 6) as lift from scored where strength >= 0.3",
