@@ -63,6 +63,8 @@ def script(c: str) -> str:
 def _folded(c: str) -> str:
     """What one character stands for: itself, the same letters in plain form, a plain space, or nothing."""
     o, kind = ord(c), unicodedata.category(c)
+    if c in SHAPE:  # it looks like its shape, whatever it is a variant of
+        return c
     if kind == "Zs":
         return " "
     if kind == "Cf":
@@ -88,8 +90,7 @@ def folded(text: str) -> str:
         return text
     if ZWJ in text:
         text = "".join(c if c != ZWJ or _joins_emoji(text, i) else "" for i, c in enumerate(text))
-        return unicodedata.normalize("NFD", "".join(c if c == ZWJ else _folded(c) for c in unicodedata.normalize("NFC", text)))
-    return unicodedata.normalize("NFD", "".join(map(_folded, text)))
+    return unicodedata.normalize("NFD", "".join(c if c == ZWJ else _folded(c) for c in unicodedata.normalize("NFD", text)))
 
 
 _PARTS = re.compile(r"([^\W\d_](?:[^\W\d_]|[̀-ͯ])*)")
