@@ -70,6 +70,6 @@ def ambiguous(nodes: DataFrame, name: str, window: int = 20) -> DataFrame:
 
 def cap_fan_out(neighbours: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     """The best neighbours by confidence, then contract id, and those dropped by the cap."""
-    w = Window.orderBy(F.desc("confidence"), F.asc("contract_id"), F.asc("neighbor_uid"))
-    ranked = neighbours.withColumn("_r", F.row_number().over(w))
-    return ranked.filter(F.col("_r") <= cap).drop("_r"), ranked.filter(F.col("_r") > cap).drop("_r")
+    order = [F.desc("confidence"), F.asc("contract_id"), F.asc("neighbor_uid")]
+    kept = neighbours.orderBy(*order).limit(cap)
+    return kept, neighbours.join(kept.select("contract_id", "neighbor_uid"), ["contract_id", "neighbor_uid"], "left_anti").orderBy(*order)
