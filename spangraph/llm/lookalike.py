@@ -80,6 +80,18 @@ def _folded(c: str) -> str:
     return c
 
 
+class _Table(dict):
+    """What each code point stands for, filled as characters occur."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = _folded(chr(code))
+        return self[code]
+
+
+_TABLE, _KEEPING = _Table(), _Table({ord(ZWJ): ZWJ})
+_SHAPES = str.maketrans(SHAPE)
+
+
 def _joins_emoji(text: str, i: int) -> bool:
     return 0 < i < len(text) - 1 and all(unicodedata.category(text[k]) in ("So", "Sk") or 0xFE00 <= ord(text[k]) <= 0xFE0F for k in (i - 1, i + 1))
 
@@ -88,9 +100,11 @@ def folded(text: str) -> str:
     """Without invisible characters and variants; decomposed."""
     if text.isascii():
         return text
+    table = _TABLE
     if ZWJ in text:
         text = "".join(c if c != ZWJ or _joins_emoji(text, i) else "" for i, c in enumerate(text))
-    return unicodedata.normalize("NFD", "".join(c if c == ZWJ else _folded(c) for c in unicodedata.normalize("NFD", text)))
+        table = _KEEPING
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table))
 
 
 _PARTS = re.compile(r"([^\W\d_](?:[^\W\d_]|[̀-ͯ])*)")
@@ -103,11 +117,18 @@ class Reader:
         self.pairs = pairs
         self.total = sum(pairs.values()) + 1.0
         self.known: dict[str, str] = {}
+        self.seen: dict[str, str] = {}
+        self.scores: dict[tuple[str, str], float] = {}
 
     def score(self, a: str, b: str) -> float:
-        s = math.log((self.pairs.get((a, b), 0) + 0.05) / self.total)
-        sa, sb = script(a) if a != "^" else "", script(b) if b != "$" else ""
-        return s + SWITCH if sa and sb and sa != sb else s
+        s = self.scores.get((a, b))
+        if s is None:
+            s = math.log((self.pairs.get((a, b), 0) + 0.05) / self.total)
+            sa, sb = script(a) if a != "^" else "", script(b) if b != "$" else ""
+            s += SWITCH if sa and sb and sa != sb else 0.0
+            if len(self.scores) < 500_000:
+                self.scores[a, b] = s
+        return s
 
     def word(self, shapes: str) -> str:
         """The best path through the lattice of a word, given as first letters of its shape groups, accents left out."""
@@ -128,16 +149,23 @@ class Reader:
 
     def consistent(self, word: str) -> str:
         """A decomposed word with accents in its consistent letters."""
-        shaped = "".join(SHAPE.get(c, c) for c in word)
+        done = self.seen.get(word)
+        if done is not None:
+            return done
+        shaped = word.translate(_SHAPES)
         done = self.known.get(shaped)
         if done is None:
-            bare = "".join(c for c in shaped if not unicodedata.combining(c))
-            letters = iter(self.word(bare) if any(c in GROUP for c in bare) else bare)
-            done = "".join(c if unicodedata.combining(c) else next(letters) for c in shaped)
-            if len(self.known) > 500_000:
+            bare = shaped if shaped.isalpha() else "".join(c for c in shaped if not unicodedata.combining(c))
+            letters = self.word(bare) if any(c in GROUP for c in bare) else bare
+            if bare is not shaped:
+                rest = iter(letters)
+                letters = "".join(c if unicodedata.combining(c) else next(rest) for c in shaped)
+            done = letters
+        if len(word) < 200:
+            if len(self.seen) > 300_000:
+                self.seen.clear()
                 self.known.clear()
-            if len(shaped) < 200:
-                self.known[shaped] = done
+            self.seen[word] = self.known[shaped] = done
         return done
 
     def text(self, text: str) -> str:
