@@ -2,11 +2,14 @@
 
 Edges have ``src, dst, type`` and possibly ``confidence`` and ``reason``. Iterative operators add
 one join a round and write each round's new rows to the shared folder, so plans stay short and a
-lost executor costs one round. A null end of an edge joins nothing.
+lost executor costs one round. Closure and components go on until nothing changes, however deep the
+graph is. A null end of an edge joins nothing.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +56,11 @@ def confidence(type_: Column, stored: Column) -> Column:
     return F.when(stored > 0, stored).otherwise(by_type)
 
 
-def bfs(edges: DataFrame, anchors: DataFrame, *, up: bool = False, max_depth: int = 3, row_cap: int | None = None, keep: list[str] | None = None) -> tuple[DataFrame, bool]:
+def bfs(edges: DataFrame, anchors: DataFrame, *, up: bool = False, max_depth: int | None = 3, row_cap: int | None = None, keep: list[str] | None = None) -> tuple[DataFrame, bool]:
     """``[keep..., ]id, depth`` with the least depth of each node, anchors at depth 0; and whether it is partial.
 
+    Without a ``max_depth`` it goes on until no level has a new node.
+
     ``anchors`` has ``id`` and the ``keep`` columns, by which searches stay apart. ``row_cap`` bounds
     the new nodes of a level; a level with more is cut in id order and the result is partial.
     """
@@ -63,11 +68,11 @@ def bfs(edges: DataFrame, anchors: DataFrame, *, up: bool = False, max_depth: in
     key = [*keep, "id"]
     a, b = ("dst", "src") if up else ("src", "dst")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).filter("id is not null and next is not null").distinct()
-    if max_depth > 1:  # every level reads them again
+    if max_depth is None or max_depth > 1:  # every level reads them again
         step = materialise(step, "bfs-edges")
     seen = materialise(anchors.select(*key).distinct().withColumn("depth", F.lit(0)), "bfs")
     frontier, partial = seen, False
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = frontier.select(*key).join(step, "id").select(*keep, F.col("next").alias("id")).distinct()
         new = reached.join(seen.select(*key), key, "left_anti").withColumn("depth", F.lit(depth))
         if row_cap is not None:
@@ -121,12 +126,12 @@ def paths(edges: DataFrame, anchors: DataFrame, min_length: int, max_length: int
     return out.drop("used")
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """``src, dst``: all pairs joined by a path of at least one edge, by semi-naive rounds."""
     step = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     seen = frontier = materialise(step, "closure")
     hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
-    for _ in range(max_rounds):
+    while True:
         new = frontier.join(hop, "dst").select("src", F.col("to").alias("dst")).distinct()
         new = materialise(new.join(seen, ["src", "dst"], "left_anti"), "closure")
         if not new.limit(1).count():
@@ -135,7 +140,7 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``id, component``: strongly connected components with their greatest id, by colouring.
 
     Each round trims nodes without an edge in or out, lets the greatest id flow along the edges
@@ -144,8 +149,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     left = materialise(edges.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct(), "scc")
     ids = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).filter("id is not null").distinct()
     todo, done = materialise(ids, "scc"), []
-    for _ in range(max_rounds):
-        for _ in range(max_rounds):  # trim
+    while True:
+        while True:  # trim
             inner = left.select(F.col("src").alias("id")).intersect(left.select(F.col("dst").alias("id")))
             single = materialise(todo.join(inner, "id", "left_anti"), "scc")
             if not single.limit(1).count():
@@ -157,7 +162,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if not todo.limit(1).count():
             break
         colour = todo.withColumn("colour", F.col("id"))
-        for _ in range(max_rounds):
+        while True:
             came = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("c"))
             new = materialise(colour.join(came, "id", "left").select("id", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("moved")), "scc")
             colour = new.select("id", "colour")
@@ -166,7 +171,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         a, b = (colour.select(F.col("id").alias(x), F.col("colour").alias(f"{x}_c")) for x in ("src", "dst"))
         same = materialise(left.join(a, "src").join(b, "dst").filter("src_c = dst_c").select("src", "dst"), "scc")
         roots = colour.filter("id = colour").select("id")
-        reach, _ = bfs(same, roots, up=True, max_depth=1_000_000)
+        reach, _ = bfs(same, roots, up=True, max_depth=None)
         part = materialise(reach.select("id").join(colour, "id").select("id", F.col("colour").alias("component")), "scc")
         done.append(part)
         todo = materialise(todo.join(part, "id", "left_anti"), "scc")

@@ -11,7 +11,7 @@ from .graph import closure
 from .windows import first_wins
 
 
-def mro_breadth_first(parents: DataFrame, max_depth: int = 64) -> DataFrame:
+def mro_breadth_first(parents: DataFrame) -> DataFrame:
     """``type, ancestor, position``: ancestors level by level, in declaration order within a level, each once.
 
     ``parents`` has ``type, parent, position``.
@@ -20,7 +20,7 @@ def mro_breadth_first(parents: DataFrame, max_depth: int = 64) -> DataFrame:
     seen = frontier = materialise(
         first_wins(step.select("type", F.col("parent").alias("ancestor"), F.array("position").alias("path")), ["type", "ancestor"], [F.asc("path")]).filter("type <> ancestor"), "mro"
     )
-    for _ in range(max_depth):
+    while True:
         hop = frontier.join(step.withColumnRenamed("type", "ancestor"), "ancestor")
         new = hop.select("type", F.col("parent").alias("ancestor"), F.concat("path", F.array("position")).alias("path")).filter("type <> ancestor")
         new = first_wins(new, ["type", "ancestor"], [F.asc("path")]).join(seen.select("type", "ancestor"), ["type", "ancestor"], "left_anti")

@@ -8,6 +8,7 @@ Arrow batch; what crosses functions are joins.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -320,15 +321,15 @@ def taint_within(flows: DataFrame, sources: DataFrame, sinks: DataFrame, sanitiz
     return per_function(facts.filter("s and k").select("fn_id", "f"), {"f": ["what", "a", "b", "kind"]}, spread, "fn_id string, source_line long, sink_line long, kind string, hops int")
 
 
-def taint_across(entries: DataFrame, param_calls: DataFrame, param_sinks: DataFrame, *, max_rounds: int = 32, cap: int = 1000) -> DataFrame:
-    """``source, fn, param, kind, sink, depth, confidence``: sources that reach a sink through calls, by semi-naive rounds.
+def taint_across(entries: DataFrame, param_calls: DataFrame, param_sinks: DataFrame, *, cap: int = 1000) -> DataFrame:
+    """``source, fn, param, kind, sink, depth, confidence``: sources that reach a sink through calls, by semi-naive rounds until nothing is new.
 
     ``entries`` has ``source, fn, param``: tainted arguments; ``param_calls`` has ``fn, param, callee,
     callee_param``: parameters passed on; ``param_sinks`` has ``fn, param, kind, sink``.
     """
     seen = frontier = materialise(entries.select("source", "fn", "param").distinct().withColumn("depth", F.lit(0)), "across")
     calls = materialise(param_calls.select("fn", "param", "callee", "callee_param").distinct(), "across")
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         new = frontier.join(calls, ["fn", "param"]).select("source", F.col("callee").alias("fn"), F.col("callee_param").alias("param")).distinct()
         new = materialise(new.join(seen, ["source", "fn", "param"], "left_anti").withColumn("depth", F.lit(depth)), "across")
         if not new.limit(1).count():

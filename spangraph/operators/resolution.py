@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +28,22 @@ def reference_edges(references: DataFrame, *, collapse: bool = False, older: boo
     return first_wins(rows, key, [F.asc("line"), F.asc("col"), F.asc_nulls_last("step")])
 
 
-def enclosing(scopes: DataFrame, start: DataFrame, wanted: Column, max_depth: int = 64) -> DataFrame:
+def enclosing(scopes: DataFrame, start: DataFrame, wanted: Column) -> DataFrame:
     """``ref, owner``: going up from each reference's scope, the first scope whose ``kind`` is wanted.
 
     ``scopes`` has ``scope, parent, kind, owner``; ``start`` has ``ref, scope``. One join a level, on
-    what is still unresolved.
+    what is still unresolved. A walk that comes round to ``mark``, a scope it has passed, is in a cycle
+    and ends; the mark moves up at levels that are powers of two, so every cycle is found (Brent).
     """
     table = scopes.select("scope", "parent", "owner", F.coalesce(wanted, F.lit(False)).alias("hit"))
-    todo, found = materialise(start.select("ref", "scope"), "scopes"), []
-    for _ in range(max_depth):
+    todo, found = materialise(start.select("ref", "scope", F.col("scope").alias("mark")), "scopes"), []
+    for level in count(1):
         if not todo.limit(1).count():
             break
         at = materialise(todo.join(table, "scope"), "scopes")
         found.append(at.filter("hit").select("ref", "owner"))
-        todo = at.filter("not hit and parent is not null").select("ref", F.col("parent").alias("scope"))
+        mark = F.col("parent" if level & (level - 1) == 0 else "mark")
+        todo = at.filter("not hit and parent is not null and parent <> mark").select("ref", F.col("parent").alias("scope"), mark.alias("mark"))
     out = found[0] if found else start.select("ref", F.lit(None).cast("string").alias("owner")).limit(0)
     for f in found[1:]:
         out = out.unionByName(f)

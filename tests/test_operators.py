@@ -52,6 +52,26 @@ def test_components_against_brute_force(spark):
     assert {(a, b) for a, b in closed if a != b} == {(a, b) for a in reach for b in reach[a] if a != b}
 
 
+def _line(spark, n, *, cycle=False):
+    """``src, dst, type`` of n nodes in a row."""
+    return spark.createDataFrame([(f"n{i:03}", f"n{(i + 1) % n:03}", "X") for i in range(n if cycle else n - 1)], EDGE)
+
+
+def test_closure_of_a_long_line(spark):
+    n = 70
+    assert rows(graph.closure(_line(spark, n)), "src", "dst") == [(f"n{a:03}", f"n{b:03}") for a in range(n) for b in range(a + 1, n)]
+
+
+def test_components_of_a_long_cycle(spark):
+    n = 106
+    assert rows(graph.components(_line(spark, n, cycle=True)), "id", "component") == [(f"n{i:03}", f"n{n - 1:03}") for i in range(n)]
+
+
+def test_bfs_without_a_depth(spark):
+    got, partial = graph.bfs(_line(spark, 12), spark.createDataFrame([("n000",)], "id string"), max_depth=None)
+    assert rows(got) == [(f"n{i:03}", i) for i in range(12)] and not partial
+
+
 def test_shortest_path_and_none(spark):
     e = spark.createDataFrame([("a", "c", "X"), ("a", "b", "X"), ("b", "z", "X"), ("c", "z", "X")], EDGE)
     r = graph.shortest_path(e, "a", "z").first()
@@ -405,6 +425,29 @@ def test_reference_edges(spark):
     assert resolution.reference_edges(inherits).first().type == "EXTENDS" and resolution.reference_edges(inherits, older=True).first().type == "INHERITS"
 
 
+def test_mro_of_a_long_line(spark):
+    n = 70
+    up = _line(spark, n).select(F.col("src").alias("type"), F.col("dst").alias("parent"), F.lit(0).alias("position"))
+    assert rows(hierarchy.mro_breadth_first(up).filter("type = 'n000'"), "position", "ancestor") == [(i, f"n{i:03}") for i in range(1, n)]
+
+
+def test_enclosing_of_deep_scopes_and_cycles(spark):
+    n = 70
+    deep = [(f"s{i}", f"s{i + 1}" if i + 1 < n else None, "function" if i + 1 == n else "block", f"o{i}") for i in range(n)]
+    loop = [("c0", "c1", "block", "x"), ("c1", "c2", "block", "x"), ("c2", "c3", "block", "x"), ("c3", "c1", "block", "x"), ("self", "self", "block", "x")]
+    scopes = spark.createDataFrame(deep + loop, "scope string, parent string, kind string, owner string")
+    start = spark.createDataFrame([("r1", "s0"), ("r2", "c0"), ("r3", "c2"), ("r4", "self")], "ref string, scope string")
+    assert rows(resolution.enclosing(scopes, start, F.col("kind") == "function")) == [("r1", f"o{n - 1}")]
+
+
+def test_taint_across_many_calls(spark):
+    n = 40
+    calls = _line(spark, n).select(F.col("src").alias("fn"), F.lit(0).alias("param"), F.col("dst").alias("callee"), F.lit(0).alias("callee_param"))
+    entries = spark.createDataFrame([("in", "n000", 0)], "source string, fn string, param int")
+    sinks = spark.createDataFrame([(f"n{n - 1:03}", 0, "sql", "out")], "fn string, param int, kind string, sink string")
+    assert rows(pdg.taint_across(entries, calls, sinks), "source", "sink", "depth") == [("in", "out", n - 1)]
+
+
 def test_enclosing_and_lexical(spark):
     scopes = spark.createDataFrame([("s1", None, "module", "m"), ("s2", "s1", "function", "f"), ("s3", "s2", "block", None)], "scope string, parent string, kind string, owner string")
     start = spark.createDataFrame([("r1", "s3"), ("r2", "s1")], "ref string, scope string")
