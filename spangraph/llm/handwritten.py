@@ -96,13 +96,12 @@ def layout(text: str) -> dict[str, float]:
     full = [x.strip() for x in lines if x.strip()]
     n = max(1, len(text))
     skeletons: dict[str, int] = {}
-    short = [x for x in full if len(x) <= 2000]
-    for x in short:
+    for x in full:
         k = DIGITS.sub("0", TOKEN.sub("i", x))
         skeletons[k] = skeletons.get(k, 0) + 1
     expected, counted = None, 0
     for x in full:
-        for m in COUNTER.finditer(x[:2000]):
+        for m in COUNTER.finditer(x):
             v = int(m.group(1)[:9])
             if v == expected or (expected is None and v in (0, 1)):
                 expected, counted = v + 1, counted + 1
@@ -118,8 +117,8 @@ def layout(text: str) -> dict[str, float]:
         "alnum": letters / max(1, n - spaces),
         "numbers": sum(len(m.group()) for m in NUMBER.finditer(text)) / n,
         "runs": sum(len(m.group()) for m in RUN.finditer(text)) / n,
-        "kinds": len(skeletons) / max(1, len(short)),
-        "commonest": max(skeletons.values(), default=0) / max(1, len(short)),
+        "kinds": len(skeletons) / max(1, len(full)),
+        "commonest": max(skeletons.values(), default=0) / max(1, len(full)),
         "counted": counted,
     }
 

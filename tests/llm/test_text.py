@@ -161,3 +161,13 @@ def test_copies_of_foreign_code_wherever_they_lie(spark):
     got = hw.not_handwritten(scanned, spark.createDataFrame(nodes, "id string, content string, indexed_at int"))
     assert sorted((r.repo, r.path) for r in got.collect()) == [("q", "dist/none.py"), ("q", "src/y.py"), ("r", "vendor/l/x.py")]
     assert hw.not_handwritten(scanned.limit(0), spark.createDataFrame(nodes, "id string, content string, indexed_at int")).count() == 0
+
+
+def test_layout_of_lines_over_2000_characters():
+    table = "\n".join("[" + ", ".join(['"alpha"', '"beta"', '"gamma"'] * 120) + "]," for _ in range(12))
+    assert min(map(len, table.split("\n"))) > 2000 and hw.layout(table)["space"] > 0.1
+    assert hw.layout(table)["commonest"] == 1.0 and hw.made_layout(table, "py")
+    members = "\n".join("ab + " * 450 + f"m_{i};" for i in range(1, 7))
+    assert hw.layout(members)["counted"] == 6 and hw.made_layout(members, "c")
+    own = "\n".join("ab + " * (450 + i) + "c;" for i in range(12))
+    assert not hw.made_layout(own, "c")
