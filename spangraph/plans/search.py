@@ -97,7 +97,7 @@ def cjk_bigrams(s, d):
 def text_functions(s, d):
     t = F.col("text")
     return table(s, d, "documents").select(
-        "doc_id", F.md5(tx.one_line(t)).alias("one_line"), tx.longest_identifier(F.substring(t, 1, 60)).alias("identifier"), F.length(tx.utf8_cut(t, 100)).alias("in_100_bytes"),
+        "doc_id", F.md5(tx.one_line(t)).alias("one_line"), tx.longest_identifier(t).alias("identifier"), F.length(tx.utf8_cut(t, 100)).alias("in_100_bytes"),
         tx.half_up(F.col("n_chars") / 7, 2).alias("seventh"), tx.branch_slug(F.coalesce("source", F.lit("None Here"))).alias("slug"),
     )
 

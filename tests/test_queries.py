@@ -31,6 +31,14 @@ def test_entry(spark):
     assert set(QUERIES) <= set(e.queries())
 
 
+def test_text_functions_read_whole_texts(spark, tmp_path):
+    texts = [("a", "x" * 50 + " straddles_the_60th_character and_then_the_longest_one_of_this_whole_text_behind_it"), ("b", "a b"), ("c", None)]
+    docs = spark.createDataFrame([(k, t, len(t or ""), "s") for k, t in texts], "doc_id string, text string, n_chars int, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.identifier for r in QUERIES["text_functions"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "and_then_the_longest_one_of_this_whole_text_behind_it", "b": None, "c": None}
+
+
 def test_core_does_not_import_the_optional_subpackage():
     import pathlib
     import re
