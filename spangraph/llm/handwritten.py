@@ -38,6 +38,9 @@ MADE_NAME = re.compile(
 )
 
 COMMENT = re.compile(r'^[ \t]*(?://+!?|#+!?|/\*+!?|\*+(?!/)|"""|\'\'\'|--|<!--|;+)[ \t]*(.*?)[ \t]*(?:\*/|"""|\'\'\'|-->)?[ \t]*$')
+# How comments of several lines open at the start of a line, and close.
+BLOCKS = {"/*": "*/", "<!--": "-->"}
+BLOCK = re.compile(r"[ \t]*(" + "|".join(map(re.escape, BLOCKS)) + ")")
 # How a comment begins that says a tool wrote the file.
 MADE_MARK = re.compile(
     r"(?i)^(?:code generated\b|@generated\b|<auto-?generated|auto-?generated\s+(?:file|from|by|code|with)\b|automatically generated\b|generated\s*(?::|by\b|from\b|with\b)|"
@@ -140,8 +143,24 @@ def made_layout(text: str, language: str) -> bool:
 
 
 def code_print(text: str) -> bytes | None:
-    """A digest of the code without comment lines and white space; None if too little is left to tell."""
-    kept = ["".join(x.split()) for x in text.split("\n") if not COMMENT.match(x.rstrip("\r")) or x.lstrip().startswith("#include")]
+    """A digest of the code without comment lines, block comments and white space; None if too little is left to tell.
+
+    A block that nothing closes is no block, so the code behind it stays.
+    """
+    lines = [x.rstrip("\r") for x in text.split("\n")]
+    last = {c: max((i for i, x in enumerate(lines) if c in x), default=-1) for c in BLOCKS.values()}
+    kept, close = [], None
+    for i, x in enumerate(lines):
+        if close:
+            _, end, x = x.partition(close)
+            if not end:
+                continue
+            close = None
+        m = BLOCK.match(x)
+        if m and (c := BLOCKS[m.group(1)]) not in x[m.end() :] and i < last[c]:
+            close = c
+        elif x.strip() not in last and (not COMMENT.match(x) or x.lstrip().startswith("#include")):
+            kept.append("".join(x.split()))
     code = "".join(kept)
     return hashlib.blake2b(code.encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(code) >= 80 else None
 

@@ -171,3 +171,13 @@ def test_layout_of_lines_over_2000_characters():
     assert hw.layout(members)["counted"] == 6 and hw.made_layout(members, "c")
     own = "\n".join("ab + " * (450 + i) + "c;" for i in range(12))
     assert not hw.made_layout(own, "c")
+
+
+def test_print_without_block_comments():
+    code = "#include <a.h>\n" + "".join(f"int value_{i} = compute({i}); // why\n" for i in "abcdefgh")
+    bare = hw.code_print(code)
+    for head in ("/*\n * lib 1.2.3\n * Copyright X\n */\n", "/* lib 1.2.3\r\n   Copyright X\r\n#include no\r\n*/\r\n", "/* one */\n", "/**\n a **/\n", "<!-- lib\n Copyright X\n-->\n", "/* a\n b */ /* c\n d */\n"):
+        assert hw.code_print(head + code) == bare, head
+    assert bare and hw.code_print("/* a\n b */ int x;\n" + code) == hw.code_print("int x;\n" + code) != bare
+    assert hw.code_print("/* never closed\n" + code) == bare
+    assert hw.code_print(code.replace("value_c", "other")) != bare
