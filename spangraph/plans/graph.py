@@ -112,7 +112,13 @@ def cycles_scc(s, d):
     return g.components(_trade(s, d))
 
 
+def closure_contains(s, d):
+    """Everything with all that it contains at any distance, over all CONTAINS edges."""
+    return g.closure(contains(s, d))
+
+
 def closure_subtypes(s, d):
+    """The closure of the hierarchy of places and customers, whose leaves are customers, not orders."""
     e = contains(s, d).filter("dst not like 'Order:%'")
     return g.closure(e)
 
@@ -159,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         bfs_downstream, bfs_upstream, bfs_cyclic, impact_by_depth, impact_risk, impact_unknown, impact_page, impact_ambiguous, confidence_floor, shortest_path, path_1_to_5, path_two_hops_named,
-        cycles_scc, closure_subtypes, communities, process_flows, flow_steps, flow_heads, query_process_cards, entry_point_score,
+        cycles_scc, closure_contains, closure_subtypes, communities, process_flows, flow_steps, flow_heads, query_process_cards, entry_point_score,
     ]
 }
 
@@ -199,6 +205,8 @@ ORACLE = {
     "cycles_scc": f"""with recursive {_TRADE}, ids as (select src as id from trade_ union select dst from trade_),
         reach(a, b) as (select id, id from ids union select a, dst from reach join trade_ on src = b)
         select x.a as id, max(x.b) as component from reach x join reach y on x.a = y.b and x.b = y.a group by 1""",
+    "closure_contains": f"""with recursive {CONTAINS_SQL},
+        reach(src, dst) as (select src, dst from contains_ union select r.src, e.dst from reach r join contains_ e on e.src = r.dst) select * from reach""",
     "closure_subtypes": f"""with recursive {CONTAINS_SQL}, e as (select src, dst from contains_ where dst not like 'Order:%'),
         reach(src, dst) as (select src, dst from e union select r.src, e.dst from reach r join e on e.src = r.dst) select * from reach""",
     "flow_steps": "select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as step from events",
