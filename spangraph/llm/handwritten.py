@@ -11,7 +11,8 @@ A file is not hand-written if any of these holds:
   code or under another product's licence comment, in any repository.
 
 Only comments count as marks: a string or a name that speaks of generated code is no mark. All
-statistics are of whole texts. The thresholds are tuned per language in ``LIMITS``.
+statistics are of whole texts. The thresholds are those of ``LIMITS``, where only css and c
+have some of their own.
 
 Defined results: a file is one (repo, path), however often it was scanned; of several versions of a
 text the one with the greatest indexed_at holds; a file without a text is judged by its path; null
