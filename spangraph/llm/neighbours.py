@@ -16,8 +16,10 @@ vectors are compared a second time, with the order that has that node left out.
 
 Defined results: vectors that are null, of another length than asked for, with a value that is not
 finite, or all zero take no part; of several rows of one id the greatest vector holds; no vector
-has a vector of its own node as neighbour, and all vectors without a node count as one node; equal
-cosines go to the smaller id.
+has a vector of its own node as neighbour, and all vectors without a node count as one node. Of the
+candidates that the windows give, equal cosines go to the smaller id; a window with more than k equal
+ones gives any k of them, and smaller ids outside the windows are not seen, so among many equal
+vectors the partners depend on windows and partition borders.
 """
 
 from __future__ import annotations
