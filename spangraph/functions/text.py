@@ -1,14 +1,9 @@
-"""Text functions as column expressions; pandas functions only where a match must see its neighbours."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def one_line(text: Column) -> Column:
@@ -28,25 +23,18 @@ def longest_identifier(pattern: Column, least: int = 3) -> Column:
     return F.when(F.length(best) >= least, best)
 
 
-# CJK unified ideographs, with extension A and compatibility ideographs.
-_CJK = re.compile("[㐀-䶿一-鿿豈-﫿]{2,}")
-
+# Fixed value: the block of CJK unified ideographs.
+CJK = "\u4e00-\u9fff"
 
-def _bigrams(text: str) -> str:
-    def rewrite(m: re.Match) -> str:
-        run, full = m.group(), m.string
-        before, after = full[m.start() - 1 : m.start()] if m.start() else "", full[m.end() : m.end() + 1]
-        pairs = " ".join(run[i : i + 2] for i in range(len(run) - 1))
-        return (" " if before and not before.isspace() else "") + pairs + (" " if after and not after.isspace() else "")
 
-    return _CJK.sub(rewrite, text)
+def cjk_bigrams(text: Column) -> Column:
+    """Runs of two or more CJK ideographs become overlapping pairs, parted by a space from what isn't white space beside them.
 
-
-@F.pandas_udf(T.StringType())
-def cjk_bigrams(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """CJK runs of two or more become overlapping pairs with spaces at their ends; the rest is left as it is."""
-    for batch in texts:
-        yield batch.map(lambda t: t if t is None else _bigrams(t))
+    A letter inside a run ends one pair and begins the next, so it is written twice with a space between.
+    """
+    other, run = f"[^{CJK}\\s\\p{{Z}}\uFEFF]", f"[{CJK}]{{2}}"
+    parted = F.regexp_replace(text, f"(?<={other})(?={run})|(?<={run})(?={other})", " ")
+    return F.regexp_replace(parted, f"(?<=[{CJK}])([{CJK}])(?=[{CJK}])", "$1 $1")
 
 
 def char_chunks(df: DataFrame, key: str, text: str, size: int = 1200, overlap: int = 120) -> DataFrame:

@@ -91,7 +91,7 @@ def chunk_lines(s, d):
 
 
 def cjk_bigrams(s, d):
-    return table(s, d, "documents").select("doc_id", tx.cjk_bigrams("text").alias("text"))
+    return table(s, d, "documents").select("doc_id", tx.cjk_bigrams(F.col("text")).alias("text"))
 
 
 def text_functions(s, d):

@@ -199,7 +199,7 @@ def test_best_chunks_and_sums(spark):
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("ERP审批流程",), ("审 批",), ("x 审批 y",), (None,)], "t string")
-    assert [r.x for r in df.select(text.cjk_bigrams("t").alias("x")).collect()] == ["ERP 审批 批流 流程", "审 批", "x 审批 y", None]
+    assert [r.x for r in df.select(text.cjk_bigrams(F.col("t")).alias("x")).collect()] == ["ERP 审批 批流 流程", "审 批", "x 审批 y", None]
     assert one(spark, text.longest_identifier(F.col("t")), t="if (fooBar.baz == quxQuz)") == "fooBar"
     assert one(spark, text.longest_identifier(F.col("t")), t="a b") is None
     for budget in range(0, 12):
@@ -277,7 +277,7 @@ def test_service_roots(spark):
 
 @pytest.mark.parametrize("raw, want", [
     ("`/api/x/${id}`", "/api/x/[param]"), ("${base}/api/x?y=1", "/api/x"), ("${a}${b}/api/x", "/api/x"), ("${a}api/x", None), ("/api/upload.php", "/api/upload"), ("/api/a+b", None), ("api/x", None),
-    ("${base}/${id}", None), ("/api/x${q ? `?a=${b}` : ''}", "/api/x"), ("${p}//host/x", None),
+    ("${base}/${id}", None), ("/api/x${q ? `?a=${b}` : ''}", "/api/x"), ("${p}//host/x", None), ("/api/${a/b}/x${c}/y", "/api/[param]/x[param]/y"), ("/", "/"), ("", None), (None, None), ("${x}", None), ("/f(x)", None), ("/${a}x${b}", "/[param]x"),
 ])
 def test_fetch_urls(spark, raw, want):
     assert one(spark, routes.fetch_url(F.col("t")), t=raw) == want
@@ -299,6 +299,15 @@ def test_route_functions(spark):
         assert one(spark, routes.matcher_hits(F.col("r"), F.col("m")), r=route, m=matcher) is want
 
 
+@pytest.mark.parametrize("path, expo, php", [
+    ("app/(tabs)/home.tsx", "/home", None), ("src\\app\\users\\[id].ts", "/users/[id]", None), ("app/index.tsx", "/", None), ("app/a/index.tsx", "/a", None), ("app/users+api.ts", "/users", None), ("app/_layout.tsx", None, None),
+    ("app/+html.tsx", None, None), ("app/x.d.ts", None, None), ("api/upload.php", None, "/api/upload"), ("api/v1/next_sign.php", None, "/api/v1/next_sign"), ("api/db_config.php", None, None), ("api/contest.php", None, "/api/contest"),
+    ("api/_x.php", None, None), ("src/api/x.php", None, None), (None, None, None), ("", None, None),
+])
+def test_file_routes(spark, path, expo, php):
+    assert one(spark, routes.expo_route(F.col("p")), p=path) == expo and one(spark, routes.php_route(F.col("p")), p=path) == php
+
+
 def test_shape_check_leaves_error_keys_out(spark):
     r = spark.createDataFrame([("/o", ["id"], ["error"]), ("/n", None, None)], "route string, response_keys array<string>, error_keys array<string>")
     c = spark.createDataFrame([("/o", "f", ["id", "error", "x"], 1), ("/o", "g", ["id"], 2), ("/n", "h", ["y"], 1)], "route string, consumer string, keys array<string>, fetches int")
