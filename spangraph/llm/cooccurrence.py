@@ -1,13 +1,18 @@
 """Items that appear together: pair counts and association over baskets of any size.
 
-A basket of up to ``block`` items is one group. A larger basket is cut into chunks of about that
-many items by a hash, and each pair of chunks becomes a group of its own, so the pairs of one huge
-basket are made by many tasks. Counts from both are added by one aggregation.
+Every basket goes the same way: it is cut by a hash into chunks of about ``block`` items, and each
+pair of chunks (a chunk with itself too) becomes a group of its own whose pairs one row of the plan
+makes. A basket within the block is one chunk with one chunk pair, and the pairs of a huge one are
+made by many tasks. Counts of all chunk pairs are added by one aggregation. A basket of s items
+is copied s / block times, which is 2 / block of the pairs that it gives.
 
 Thresholds are used before pairs are made where that loses nothing: c <= min(a, b), so an item
 that is rarer than ``min_count`` has no pair that reaches it, and as the lift c*n/(a*b) is at most
 n/max(a, b), an item in more than n/min_lift baskets has no pair that reaches ``min_lift``.
 
+Names don't travel: a basket and an item are 128-bit hashes while baskets are put together, kept
+items get exact numbers, and names are looked up for the items of the pairs that are found.
+
 Defined results: null or blank items and null baskets are left out, an item counts once per basket,
 a null scope is a scope of its own, a basket with one item counts for n and for its item only.
 """
@@ -21,34 +26,52 @@ from ..runtime import materialise
 
 #: Items of a chunk: up to block**2 pairs are made by one row of the plan.
 BLOCK = 128
-#: A basket of more rows than this is spread over so many parts wherever baskets are put together.
-HEAVY, SPREAD = 10_000, 32
+#: A basket of more rows than this is put together in parts of about so many.
+HEAVY = 10_000
 
 
 def plain_path(path: Column) -> Column:
     """Single forward slashes, no ``./``: the one spelling of a path."""
-    path = F.regexp_replace(path, r"[\\/]+", "/")
-    path = F.regexp_replace(path, r"(?<=/)(?:\./)+", "")
-    return F.regexp_replace(path, r"^(?:\./)+", "")
+    plain = F.regexp_replace(path, r"[\\/]+", "/")
+    plain = F.regexp_replace(plain, r"(?<=/)(?:\./)+", "")
+    plain = F.regexp_replace(plain, r"^(?:\./)+", "")
+    odd = path.contains("\\") | path.contains("//") | path.contains("./")
+    return F.when(odd, plain).otherwise(path)
+
+
+def _key(name: str, *columns: str) -> list[Column]:
+    """Two independent 64-bit hashes, ``name_1`` and ``name_2``, that tell null from empty.
+
+    Spark takes the hash of one argument as the seed of the next, so what sets the two apart comes first.
+    """
+    parts = [x for c in columns for x in (F.coalesce(c, F.lit("")), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"{name}_{seed}") for seed in (1, 2)]
 
 
-def _id(*columns: str) -> Column:
-    """A 64-bit id that tells a null scope from an empty one."""
-    return F.xxhash64(*(x for c in columns for x in (F.coalesce(c, F.lit("")), F.col(c).isNull())))
+BASKET, ITEM = ["basket_1", "basket_2"], ["item_1", "item_2"]
 
 
-def _baskets(rows: DataFrame) -> DataFrame:
-    """Distinct ``scope_id, basket_id, item_id``, each ordinary basket in one part and a heavy one in SPREAD.
+def _baskets(raw: DataFrame, named: DataFrame) -> DataFrame:
+    """``scope, basket_1, basket_2, parts, items``: each basket's distinct items, a heavy one in several rows.
 
-    A basket is named by two 64-bit hashes. Only the heavy baskets are looked up; there are at most
-    (number of rows) / HEAVY of them.
+    Only the heavy baskets are looked up; there are at most (number of rows) / HEAVY of them.
     """
-    rows = rows.select(_id("scope").alias("scope_id"), _id("scope", "basket").alias("basket_id"), _id("scope", "item").alias("item_id"))
-    heavy = rows.groupBy("scope_id", "basket_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > HEAVY).select("scope_id", "basket_id", F.lit(SPREAD).alias("parts"))
-    rows = rows.join(heavy, ["scope_id", "basket_id"], "left")
-    rows = rows.withColumn("part", F.pmod("item_id", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    rows = rows.repartition("scope_id", "basket_id", "part").dropDuplicates(["scope_id", "basket_id", "part", "item_id"]).drop("part")
-    return materialise(rows, "cooccurrence-rows")
+    heavy = raw.groupBy(*_key("basket", "scope", "basket")).agg(F.count("*").alias("rows")).filter(F.col("rows") > HEAVY)
+    heavy = heavy.select(*BASKET, F.ceil(F.col("rows") / HEAVY).cast("int").alias("parts"))
+    rows = named.select("scope", *_key("basket", "scope", "basket"), *_key("item", "scope", "item")).join(heavy, BASKET, "left")
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("item_1", "parts").cast("int"))
+    group = [*BASKET, "part"]
+    rows = rows.repartition(*group).dropDuplicates([*group, *ITEM])
+    rows = rows.groupBy(*group).agg(F.first("scope").alias("scope"), F.first("parts").alias("parts"), F.collect_list(F.struct(*ITEM)).alias("items"))
+    return materialise(rows.select("scope", *BASKET, "parts", "items"), "cooccurrence-baskets")
+
+
+def _sized(baskets: DataFrame) -> DataFrame:
+    """With the size of the whole basket: an ordinary one is one row, only parts of heavy ones are added up."""
+    own = baskets.filter("parts = 1").withColumn("size", F.size("items").cast("long"))
+    parts = baskets.filter("parts > 1")
+    whole = parts.groupBy(*BASKET).agg(F.sum(F.size("items")).alias("size"))
+    return own.unionByName(parts.join(whole, BASKET))
 
 
 def pair_counts(
@@ -59,47 +82,49 @@ def pair_counts(
     strength is count / min(count_a, count_b), lift is count * n / (count_a * count_b).
     ``max_basket`` leaves out whole baskets that are larger, before anything is counted.
     """
-    named = rows.select(F.col(scope).cast("string").alias("scope"), F.col(basket).cast("string").alias("basket"), F.col(item).cast("string").alias("item"))
-    named = named.filter(F.col("basket").rlike(r"\S") & F.col("item").rlike(r"\S"))
-    kept = _baskets(named)
-    sizes = kept.groupBy("scope_id", "basket_id").agg(F.count("*").alias("size"))
+    raw = rows.select(F.col(scope).cast("string").alias("scope"), F.col(basket).cast("string").alias("basket"), F.col(item).cast("string").alias("item"))
+    raw = raw.filter(F.col("basket").rlike(r"\S"))
+    named = raw.filter(F.col("item").rlike(r"\S"))
+    kept = _sized(_baskets(raw, named))
     if max_basket is not None:
-        kept = kept.join(sizes.filter(F.col("size") > max_basket), ["scope_id", "basket_id"], "left_anti")
-        sizes = sizes.filter(F.col("size") <= max_basket)
-    totals = sizes.groupBy("scope_id").agg(F.count("*").alias("n"))
-    items = kept.groupBy("item_id").agg(F.count("*").alias("freq"), F.first("scope_id").alias("scope_id")).filter(F.col("freq") >= min_count)
-    items = items.join(totals, "scope_id")
+        kept = kept.filter(F.col("size") <= max_basket)
+    # a basket counts once for n: by its row, or by one of its parts
+    share = F.when(F.col("parts") == 1, F.lit(1.0)).otherwise(F.size("items") / F.col("size"))
+    totals = kept.groupBy("scope").agg(F.round(F.sum(share)).cast("long").alias("n")).withColumnRenamed("scope", "of")
+    single = kept.select("scope", *BASKET, "size", F.explode("items").alias("i")).select("scope", *BASKET, "size", "i.*")
+    items = single.groupBy(*ITEM).agg(F.count("*").alias("freq"), F.first("scope").alias("scope")).filter(F.col("freq") >= min_count)
+    items = items.join(totals, F.col("scope").eqNullSafe(F.col("of")))
     if min_lift is not None:
         items = items.filter(F.col("freq") * F.lit(min_lift) <= F.col("n"))
-    names = named.select("scope", "item").distinct().withColumn("item_id", _id("scope", "item"))
-    items = materialise(items.join(names, "item_id").select("item_id", "freq", "n", "scope", "item"), "cooccurrence-items")
-    if items.groupBy("item_id").count().filter("count > 1").limit(1).count():
-        raise ValueError("two items have the same 64-bit id")
-
-    used = kept.join(items.select("item_id"), "item_id", "left_semi").select("scope_id", "basket_id", F.col("item_id").alias("id"))
-    if max_basket is None or max_basket > block:
-        large = sizes.filter(F.col("size") > block).select("scope_id", "basket_id", F.ceil(F.col("size") / block).cast("int").alias("chunks"))
-        used = used.join(large, ["scope_id", "basket_id"], "left")
-        chunks = F.coalesce("chunks", F.lit(1))
-        chunk = F.pmod(F.xxhash64("id", F.lit(1)), chunks).cast("int")
-        used = used.select("scope_id", "basket_id", "id", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        used = used.select("scope_id", "basket_id", "id", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-        groups = used.groupBy("scope_id", "basket_id", "i", "j").agg(
-            F.array_sort(F.collect_list(F.when(F.col("chunk") == F.col("i"), F.col("id")))).alias("left"),
-            F.array_sort(F.collect_list(F.when(F.col("chunk") == F.col("j"), F.col("id")))).alias("right"),
-        )
-        pairs = groups.select("i", "j", "right", F.posexplode("left").alias("at", "x"))
-        partners = F.when(F.col("i") == F.col("j"), F.slice("right", F.col("at") + 2, F.size("right"))).otherwise(F.col("right"))
-        pairs = pairs.select("x", F.explode(partners).alias("y"))
-    else:
-        groups = used.groupBy("scope_id", "basket_id").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
-        pairs = groups.select("ids", F.posexplode("ids").alias("at", "x"))
-        pairs = pairs.select("x", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("y"))
-    counts = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("x", "y").agg(F.count("*").alias("count"))
-    counts = counts.filter(F.col("count") >= min_count)
-    one = items.select(F.col("item_id").alias("x"), "scope", "n", F.col("item").alias("item_x"), F.col("freq").alias("freq_x"))
-    two = items.select(F.col("item_id").alias("y"), F.col("item").alias("item_y"), F.col("freq").alias("freq_y"))
+    items = materialise(items.select(*ITEM, "freq", "n", F.monotonically_increasing_id().alias("id")), "cooccurrence-items")
+
+    chunks = F.ceil(F.col("size") / block).cast("int")
+    used = single.join(items.select(*ITEM, "id"), ITEM).select(*BASKET, "id", chunks.alias("chunks"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    used = used.select(*BASKET, "id", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    used = used.select(*BASKET, "id", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    groups = used.groupBy(*BASKET, "i", "j").agg(
+        F.array_sort(F.collect_list(F.when(F.col("chunk") == F.col("i"), F.col("id")))).alias("left"),
+        F.array_sort(F.collect_list(F.when(F.col("chunk") == F.col("j"), F.col("id")))).alias("right"),
+    )
+    pairs = groups.select("i", "j", "right", F.posexplode("left").alias("at", "x"))
+    partners = F.when(F.col("i") == F.col("j"), F.slice("right", F.col("at") + 2, F.size("right"))).otherwise(F.col("right"))
+    pairs = pairs.select("x", F.explode(partners).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    counts = pairs.groupBy("x", "y").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
+    one = items.select(F.col("id").alias("x"), "n", F.col("freq").alias("freq_x"))
+    two = items.select(F.col("id").alias("y"), F.col("freq").alias("freq_y"))
     found = counts.join(one, "x").join(two, "y")
+    if min_lift is not None:
+        found = found.filter(F.col("count").cast("double") * F.col("n") >= F.lit(float(min_lift)) * (F.col("freq_x") * F.col("freq_y")))
+    found = materialise(found, "cooccurrence-found")
+
+    wanted = found.select(F.col("x").alias("id")).unionAll(found.select(F.col("y").alias("id"))).distinct()
+    wanted = materialise(wanted.join(items.select("id", *ITEM), "id"), "cooccurrence-wanted")
+    names = named.select("scope", "item", *_key("item", "scope", "item")).groupBy(*ITEM).agg(F.first("scope").alias("scope"), F.first("item").alias("item"))
+    # the semi-join is planned below the aggregation where the wanted items are few enough to be sent
+    names = names.join(wanted.select(*ITEM), ITEM, "left_semi").join(wanted, ITEM)
+    names = materialise(names.select("id", "scope", "item"), "cooccurrence-names")
+    found = found.join(names.select(F.col("id").alias("x"), "scope", F.col("item").alias("item_x")), "x").join(names.select(F.col("id").alias("y"), F.col("item").alias("item_y")), "y")
     swap = F.col("item_x") > F.col("item_y")
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     found = found.select(
@@ -107,7 +132,4 @@ def pair_counts(
         pick("freq_x", "freq_y").alias("count_a"), pick("freq_y", "freq_x").alias("count_b"), "n",
     )
     found = found.withColumn("strength", F.col("count") / F.least("count_a", "count_b"))
-    found = found.withColumn("lift", F.col("count").cast("double") * F.col("n") / (F.col("count_a") * F.col("count_b")))
-    if min_lift is not None:
-        found = found.filter(F.col("count").cast("double") * F.col("n") >= F.lit(float(min_lift)) * (F.col("count_a") * F.col("count_b")))
-    return found
+    return found.withColumn("lift", F.col("count").cast("double") * F.col("n") / (F.col("count_a") * F.col("count_b")))

@@ -35,7 +35,7 @@ with raw as (
          regexp_replace(regexp_replace(regexp_replace(file, '[\\/]+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', '') as file
   from commits where trim(commit_id) <> '' and trim(file) <> ''),
 touched as (select distinct repo, commit_id, file from raw where trim(file) <> ''),
-fit as (select repo, commit_id from touched group by all having count(*) <= 50),
+fit as (select repo, commit_id from touched group by all having count(*) <= {most}),
 kept as (select t.* from touched t join fit f on t.repo is not distinct from f.repo and t.commit_id = f.commit_id),
 n as (select repo, count(*) as n from fit group by repo),
 one as (select repo, file, count(*) as c from kept group by all),
@@ -91,9 +91,10 @@ ORACLE = {
 with looks as (select doc_id, text, {_look_sql()} as look from documents where text is not null and doc_id is not null)
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from looks a join looks b on a.look = b.look and a.text <> b.text and a.doc_id < b.doc_id
 where regexp_matches(a.look, '[^\\s]')""",
-    "p3_found": _P3.format(support=5) + "select repo, file_a, file_b from scored where often",
-    "p3_strength": _P3.format(support=3)
+    "p3_found": _P3.format(support=5, most=50) + "select repo, file_a, file_b from scored where often",
+    "p3_strength": _P3.format(support=3, most=50)
     + "select repo, file_a, file_b, c as change_count, round(strength, 6) as strength, round(lift, 6) as lift from scored where strength >= 0.3",
+    "p3_sweeping": _P3.format(support=5, most=1 << 40) + "select repo, file_a, file_b, c as change_count, round(lift, 6) as lift from scored where often",
     "p6_found": """
 select id as node_id from (
   select id, content, row_number() over (partition by id order by indexed_at desc nulls last, length(content) desc nulls last, content desc) as r

@@ -54,9 +54,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "why_ignored_result"), table(spark, sf_dir, "nodes"))
 
 
-def p3_pairs(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+#: Files of a chunk: far below the limit of 50 files, so that ordinary commits too go by chunk pairs.
+P3_BLOCK = 16
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str, max_basket: int | None = 50, **limits) -> DataFrame:
     commits = table(spark, sf_dir, "commits").select("repo", "commit_id", plain_path(F.col("file")).alias("file"))
-    return pair_counts(commits, "repo", "commit_id", "file", max_basket=50, **limits)
+    return pair_counts(commits, "repo", "commit_id", "file", max_basket=max_basket, block=P3_BLOCK, **limits)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,12 @@ def p3_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_sweeping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a count of 5 and a lift of 3 or more over all commits, sweeping ones of any size included."""
+    found = p3_pairs(spark, sf_dir, max_basket=None, min_count=5, min_lift=3.0)
+    return found.select(F.col("scope").alias("repo"), F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), F.col("count").alias("change_count"), F.round("lift", 6).alias("lift"))
+
+
 def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_partners(table(spark, sf_dir, "co_change_pair"), table(spark, sf_dir, "co_change_options"))
 
@@ -116,7 +126,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-    "p2_found": p2_found, "p3_found": p3_found, "p3_strength": p3_strength, "p4_found": p4_found, "p4_ranked": p4_ranked,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_strength": p3_strength, "p3_sweeping": p3_sweeping, "p4_found": p4_found, "p4_ranked": p4_ranked,
     "p6_found": p6_found, "p6_chunks": p6_chunks, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_consistent": p9_consistent,
 }
