@@ -61,8 +61,9 @@ def _baskets(raw: DataFrame, named: DataFrame) -> DataFrame:
     rows = named.select("scope", *_key("basket", "scope", "basket"), *_key("item", "scope", "item")).join(heavy, BASKET, "left")
     rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("item_1", "parts").cast("int"))
     group = [*BASKET, "part"]
-    rows = rows.repartition(*group).dropDuplicates([*group, *ITEM])
-    rows = rows.groupBy(*group).agg(F.first("scope").alias("scope"), F.first("parts").alias("parts"), F.collect_list(F.struct(*ITEM)).alias("items"))
+    # all columns are grouping keys: text as an aggregate's value would make it a sort
+    rows = rows.repartition(*group).select("scope", "parts", *group, *ITEM).distinct()
+    rows = rows.groupBy("scope", "parts", *group).agg(F.collect_list(F.struct(*ITEM)).alias("items"))
     return materialise(rows.select("scope", *BASKET, "parts", "items"), "cooccurrence-baskets")
 
 
@@ -92,7 +93,7 @@ def pair_counts(
     share = F.when(F.col("parts") == 1, F.lit(1.0)).otherwise(F.size("items") / F.col("size"))
     totals = kept.groupBy("scope").agg(F.round(F.sum(share)).cast("long").alias("n")).withColumnRenamed("scope", "of")
     single = kept.select("scope", *BASKET, "size", F.explode("items").alias("i")).select("scope", *BASKET, "size", "i.*")
-    items = single.groupBy(*ITEM).agg(F.count("*").alias("freq"), F.first("scope").alias("scope")).filter(F.col("freq") >= min_count)
+    items = single.groupBy(*ITEM, "scope").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_count)
     items = items.join(totals, F.col("scope").eqNullSafe(F.col("of")))
     if min_lift is not None:
         items = items.filter(F.col("freq") * F.lit(min_lift) <= F.col("n"))
@@ -120,8 +121,8 @@ def pair_counts(
 
     wanted = found.select(F.col("x").alias("id")).unionAll(found.select(F.col("y").alias("id"))).distinct()
     wanted = materialise(wanted.join(items.select("id", *ITEM), "id"), "cooccurrence-wanted")
-    names = named.select("scope", "item", *_key("item", "scope", "item")).groupBy(*ITEM).agg(F.first("scope").alias("scope"), F.first("item").alias("item"))
-    # the semi-join is planned below the aggregation where the wanted items are few enough to be sent
+    # the semi-join is planned below the distinct where the wanted items are few enough to be sent
+    names = named.select("scope", "item", *_key("item", "scope", "item")).distinct()
     names = names.join(wanted.select(*ITEM), ITEM, "left_semi").join(wanted, ITEM)
     names = materialise(names.select("id", "scope", "item"), "cooccurrence-names")
     found = found.join(names.select(F.col("id").alias("x"), "scope", F.col("item").alias("item_x")), "x").join(names.select(F.col("id").alias("y"), F.col("item").alias("item_y")), "y")
