@@ -39,8 +39,34 @@ def test_top_n_with_ties_nulls_and_a_hot_group(spark, state, monkeypatch):
 def test_heap_state_is_handed_on_when_it_is_full(spark):
     import pyarrow as pa
 
-    t = pa.table({"g": ["x", "y", "x"], "s": [1.0, float("nan"), None]})
-    assert topn._best(t, ["g"], [("s", "descending")], 1).to_pylist() == [{"g": "x", "s": 1.0}, {"g": "y", "s": pytest.approx(float("nan"), nan_ok=True)}]
+    t = pa.RecordBatch.from_pydict({"g": ["x", "y", "x"], "s": [1.0, float("nan"), None]})
+    h = topn.Heaps(["g"], [("s", True)], 1)
+    h.update(t)
+    assert h.take().to_pylist() == [{"g": "x", "s": 1.0}, {"g": "y", "s": pytest.approx(float("nan"), nan_ok=True)}] and h.take() is None
+
+
+@pytest.mark.parametrize("state, waiting", [(400_000, 50_000), (5, 1)])
+@pytest.mark.parametrize("desc", [True, False])
+def test_one_order_for_nan_and_null_over_any_partitions(spark, monkeypatch, desc, state, waiting):
+    monkeypatch.setattr(topn, "STATE_ROWS", state)
+    monkeypatch.setattr(topn, "WAITING", waiting)
+    nan, rnd = float("nan"), random.Random(9)
+    rows = [(rnd.choice(["a", "b", None, "hot", "hot"]), rnd.choice([1.0, 2.0, -1.0, float("inf"), nan, None]), i) for i in range(400)] + [("few", nan, 1000), ("few", None, 1001), ("few", 0.5, 1002)]
+    kind = lambda x: 2 if x is None else 1 if x != x else 0
+    want = []
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (kind(r[1]), (-r[1] if desc else r[1]) if kind(r[1]) == 0 else 0, r[2]))
+        want += [(g, r[2], k + 1) for k, r in enumerate(own[:130])]
+    for parts in (1, 4, 40):
+        df = spark.createDataFrame(rows, "g string, score double, id long").repartition(parts)
+        got = topn.top_n(df, ["g"], [("score", desc), ("id", False)], 130)
+        assert sorted(((r.g, r.id, r["rank"]) for r in got.collect()), key=repr) == sorted(want, key=repr), parts
+
+
+def test_groups_of_numbers_and_of_no_column(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (None, 3), (1.0, 4)], "g double, id long").repartition(3)
+    assert sorted(r.id for r in topn.top_n(df, ["g"], [("id", False)], 1).collect()) == [1, 3, 4]
+    assert [(r.id, r["rank"]) for r in topn.top_n(df, [], [("id", True)], 2).collect()] == [(4, 1), (3, 2)]
 
 
 def test_partners_by_the_rows_own_option_set(spark):
