@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import contracts as co
 from ..operators import diff as df
 from ..operators import routes as ro
-from ..operators.incremental import VersionedState, clean_hash, content_hash
+from ..operators.incremental import VersionedState, clean_hash, content_hash, current, latest
 from ..operators.resolution import overlapping, suffix_lookup
 from ..operators.windows import first_wins
 from ..runtime import materialise, table, working_path
@@ -211,7 +211,7 @@ def stream_refresh(s, d):
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    now = s.read.parquet(f"{state.path}/{state.current()}")
+    now = current(state, state.manifest(), latest(log.withColumn("content_hash", clean_hash(F.col("content_hash"))), "node_id", ["cached_at", "cache_row_id"], "content_hash"), "node_id")
     return now.select("node_id", F.col("now.cache_row_id").alias("cache_row_id"), F.col("now.content_hash").alias("content_hash"))
 
 

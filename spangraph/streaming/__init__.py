@@ -18,12 +18,13 @@ def refresh(stream: DataFrame, state: VersionedState, apply: Callable[[DataFrame
     """Run ``apply(changed, batch, full)`` for each micro-batch with the records that are new or changed.
 
     One batch is active at a time. A batch with over ``MOST_PENDING`` changed records asks for a full
-    refresh. The versions of the state are the batch numbers, so a batch that the engine repeats
-    after a failure applies nothing twice to the state and hands over the same changes again.
+    refresh. The runs of the state are the batch numbers together with what a batch holds, so a batch that the engine
+    repeats after a failure applies nothing twice to the state and hands over the same changes again,
+    and a stream with a new checkpoint, which counts from 0 again, applies its batches as new ones.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        changed = advance(state, df.select(key, *stamp, hash_), number, key, stamp, hash_)
+        changed = advance(state, df.select(key, *stamp, hash_), number, key, stamp, hash_, reuse="apply")
         full = changed.limit(MOST_PENDING + 1).count() > MOST_PENDING
         apply(changed, number, full)
 

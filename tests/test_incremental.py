@@ -7,7 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from spangraph.operators.incremental import VersionedState, advance, clean_hash, content_hash, replay
+from spangraph.operators.incremental import Conflict, VersionedState, advance, clean_hash, content_hash, replay
 
 SCHEMA = "run int, node string, at timestamp_ntz, row long, h string"
 T0 = dt.datetime(2026, 1, 1)
@@ -54,6 +54,53 @@ def test_a_run_that_dies_before_publishing_is_repeated_as_a_whole(spark, tmp_pat
     assert run(spark, st, rows, 2) == [("a", "y"), ("b", "b")]  # after publishing: the same answer, applied once
 
 
+def test_an_older_run_that_is_called_again(spark, tmp_path):
+    st, day = state(spark, tmp_path), dt.timedelta(1)
+    one, two = [(1, "a", T0, 1, "x"), (1, "b", T0, 2, "y")], [(2, "a", T0 + day, 3, "z")]
+    assert run(spark, st, one, 1) == [("a", "x"), ("b", "y")] and run(spark, st, two, 2) == [("a", "z")]
+    assert run(spark, st, one, 1) == [("a", "x"), ("b", "y")] and st.version() == 2
+    assert run(spark, st, two, 2) == [("a", "z")]
+    assert run(spark, st, [(3, "a", T0 + 2 * day, 4, "z"), (3, "b", T0 + day, 5, "Y")], 3) == [("b", "Y")]
+
+
+def test_a_number_that_is_used_for_other_records(spark, tmp_path):
+    st = state(spark, tmp_path)
+    run(spark, st, [(1, "a", T0, 1, "x")], 1)
+    with pytest.raises(ValueError, match="other records"):
+        run(spark, st, [(1, "c", T0, 9, "c")], 1)
+    other = spark.createDataFrame([(1, "c", T0, 9, "c")], SCHEMA)
+    go = lambda: changes(advance(st, other, 1, "node", ["at", "row"], "h", reuse="apply"))
+    assert go() == [("c", "c")] and go() == [("c", "c")]
+    assert run(spark, st, [(2, "c", T0 + dt.timedelta(1), 10, "c"), (2, "a", T0, 1, "x")], 2) == []
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    st, other = state(spark, tmp_path), state(spark, tmp_path)
+    run(spark, st, [(1, "a", T0, 1, "x")], 1)
+    publish, first = st.publish, []
+
+    def late(manifest):
+        if not first:  # another run publishes while this one is writing
+            first.append(run(spark, other, [(2, "a", T0 + dt.timedelta(2), 2, "y"), (2, "b", T0, 3, "b")], 2))
+        publish(manifest)
+
+    monkeypatch.setattr(st, "publish", late)
+    assert run(spark, st, [(3, "a", T0 + dt.timedelta(1), 4, "z"), (3, "b", T0 + dt.timedelta(1), 5, "B")], 3) == [("b", "B")]
+    assert first == [[("a", "y"), ("b", "b")]] and sorted(st.manifest()["applied"]) == ["1", "2", "3"] and st.manifest()["number"] == 3
+    with pytest.raises(Conflict):
+        other.publish(other.manifest())
+
+
+def test_deltas_are_put_together_and_stay_readable(spark, tmp_path):
+    st = state(spark, tmp_path)
+    reader = run(spark, st, [(0, k, T0, i, "0") for i, k in enumerate("abc")], 0) and st.manifest()
+    for r in range(1, 11):
+        assert run(spark, st, [(r, "a", T0 + dt.timedelta(r), 10 + r, str(r // 2))], r) == ([("a", str(r // 2))] if r % 2 == 0 else [])
+    now = st.manifest()
+    assert now["base"] and len(now["deltas"]) < 9 and st.read(reader["deltas"], spark.createDataFrame([], "node string").schema).count() == 3
+    assert run(spark, st, [(1, "c", T0, 2, "0"), (1, "b", T0 + dt.timedelta(1), 99, "0")], 99) == []
+
+
 def test_replay_against_a_plain_loop(spark, tmp_path):
     rnd = random.Random(5)
     rows = [(rnd.randrange(1, 9), rnd.choice("abcdef"), T0 + dt.timedelta(hours=rnd.randrange(60)), i, rnd.choice(["x", "y", None])) for i in range(150)]
@@ -99,3 +146,15 @@ def test_a_stream_batch_that_is_repeated(spark, tmp_path):
     shutil.rmtree(tmp_path / "c1")  # the engine forgets the batch and repeats it
     go("c2")
     assert got == [(0, [("a", "x"), ("b", "y")], False)] * 2 and st.version() == 0
+
+
+def test_a_stream_with_a_new_checkpoint_and_other_records(spark, tmp_path):
+    from spangraph.streaming import refresh
+
+    schema, st, got = "node string, at timestamp_ntz, row long, h string", state(spark, tmp_path), []
+    for k, rows in enumerate([[("a", T0, 1, "x")], [("c", T0, 2, "z"), ("a", T0, 1, "x")]]):
+        folder = f"{tmp_path}/in{k}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+        q = refresh(spark.readStream.schema(schema).parquet(folder), st, lambda c, n, full: got.append((n, changes(c))), key="node", stamp=["at", "row"], hash_="h", checkpoint=f"{tmp_path}/c{k}", available_now=True)
+        q.awaitTermination()
+    assert got == [(0, [("a", "x")]), (0, [("c", "z")])]
