@@ -54,6 +54,58 @@ def test_recall(spark, dims, noise):
     assert len(want) > 1000 and len(want & got) / len(want) >= 0.97 and len(want & got) / len(got) >= 0.97
 
 
+@pytest.mark.parametrize("parts", [1, 8, 150])
+def test_windows_reach_over_the_borders_of_partitions(spark, parts):
+    from spangraph.llm import neighbours as nb
+
+    x = clustered(3000, 32, 6, 0.2, 7)
+    df = spark.createDataFrame([(i, i, 32, [float(v) for v in x[i]]) for i in range(len(x))], SCHEMA)
+    settings = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        placed = nb.place_on_curves(df, {32: 1})
+        order = [r.id for r in placed.select("id").orderBy("place", "id").collect()]
+        near = {(order[i], order[i + d]) for i in range(len(order)) for d in (1, 2, 5, 300) if i + d < len(order)}
+        # whoever stands within the reach in the order is a candidate, wherever a partition ends
+        wanted = spark.createDataFrame(sorted(near), "id long, other long")
+        assert nb.window_pairs(placed, 3000, -1.0).join(wanted, ["id", "other"]).distinct().select("id", "other").distinct().count() == len(near)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_seams_take_rows_from_as_many_runs_as_it_needs():
+    from spangraph.llm import neighbours as nb
+
+    runs = [(8, 0, p, 0, n) for p, n in ((10, 2000), (20, 100), (30, 700), (40, 2000))] + [(8, 1, 5, 0, 10)]
+    seams = {}
+    for d, c, place, first, seam, left, low, high in nb._seams(runs):
+        seams.setdefault(seam, []).append((place, left, low, high))
+    assert seams[1] == [(20, True, 0, 100), (10, True, 1332, 2000), (30, False, 0, 700), (40, False, 0, 68)] and len(seams) == 3
+
+
+def test_near_ties_are_decided_by_exact_cosines(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(96)
+    x = np.array([base] + [base + rng.standard_normal(96) * 0.001 * (1 + i / 50) for i in range(60)], dtype=np.float32)
+    df = spark.createDataFrame([(i, i, 96, [float(v) for v in x[i]]) for i in range(len(x))], SCHEMA)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cos = u @ u.T
+    np.fill_diagonal(cos, -2)
+    rows = nearest(df, 5).collect()
+    assert len(rows) == 5 * len(x) and all(abs(r.cosine - cos[r.id, r.other]) < 1e-9 for r in rows)
+    ranks = {(r.id, r["rank"]): r.cosine for r in rows}
+    assert all(ranks[i, k] >= ranks[i, k + 1] for i in range(len(x)) for k in range(1, 5))
+
+
+def test_curves_grow_with_the_collection():
+    from spangraph.llm.neighbours import curves_for
+
+    assert [curves_for(n) for n in (0, 10, 100_000, 400_000, 1_600_000)] == [6, 6, 6, 11, 16]
+
+
 def test_one_node_with_a_third_of_all_vectors_hides_nobody(spark):
     rng = np.random.default_rng(3)
     mass = rng.standard_normal(24) + rng.standard_normal((4000, 24)) * 0.02
