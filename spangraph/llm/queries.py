@@ -97,9 +97,9 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_top(spark, sf_dir).select("repo", "file_a", "file_b", "strength", "change_count", "rank")
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, short: str = "leave") -> tuple[DataFrame, DataFrame]:
     docs = token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
-    return mix(materialise(docs, "sizes"), table(spark, sf_dir, "mix_targets"))
+    return mix(materialise(docs, "sizes"), table(spark, sf_dir, "mix_targets"), short=short)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(*_mix(spark, sf_dir))
 
 
+def p8_shares_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where the total is lowered until all sources that have documents keep the proportions of their targets."""
+    return shares(*_mix(spark, sf_dir, "shrink"))
+
+
 def p9_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in its consistent form."""
     return consistent(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.col("consistent").alias("text"))
@@ -128,5 +133,5 @@ QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p3_found": p3_found, "p3_strength": p3_strength, "p3_sweeping": p3_sweeping, "p4_found": p4_found, "p4_ranked": p4_ranked,
     "p6_found": p6_found, "p6_chunks": p6_chunks, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
-    "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_consistent": p9_consistent,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_held": p8_shares_held, "p9_found": p9_found, "p9_consistent": p9_consistent,
 }

@@ -3,12 +3,13 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spangraph.llm import topn
 from spangraph.llm.cooccurrence import pair_counts, plain_path
-from spangraph.llm.mixing import meet, mix, shares
+from spangraph.llm.mixing import meet, mix, settle, shares
 
 
 # ---- top N
@@ -123,14 +124,47 @@ def test_paths(spark):
 
 
 def test_two_documents_meet_fairly():
-    rnd, ones = random.Random(1), Counter()
-    for k in range(20_000):
-        pa, pb = rnd.choice([(0.3, 0.4), (0.7, 0.6), (0.5, 0.5)])
-        done, rest = meet(k, ("a", pa), ("b", pb))
-        assert done[1] in (0.0, 1.0) and done[1] + rest[1] == pytest.approx(pa + pb) and {done[0], rest[0]} == {"a", "b"}
-        ones[pa] += dict([done, rest])["a"]
-    for p in (0.3, 0.7, 0.5):
-        assert ones[p] / 20_000 * 3 == pytest.approx(p, abs=0.03)
+    rng = np.random.default_rng(1)
+    for x, y in [(0.3, 0.4), (0.7, 0.6), (0.5, 0.5)]:
+        a, b = meet(np.full(40_000, x), np.full(40_000, y), rng.random(40_000))
+        assert np.allclose(a + b, x + y) and (np.isin(a, (0.0, 1.0)) | np.isin(b, (0.0, 1.0))).all()
+        assert a.mean() == pytest.approx(x, abs=0.01) and b.mean() == pytest.approx(y, abs=0.01)
+
+
+def test_groups_settle_on_their_own():
+    rng = np.random.default_rng(2)
+    group = np.repeat(np.arange(300), rng.integers(1, 40, 300))
+    p, ones = rng.choice([0.0, 0.25, 0.5, 0.9, 1.0], len(group)), np.zeros(len(group))
+    for k in range(300):
+        out = settle(group, p, rng.integers(0, 1 << 62, len(group)).astype(np.uint64))
+        is_open = (out > 0) & (out < 1)
+        assert np.bincount(group[is_open], minlength=300).max() <= 1 and np.allclose(np.bincount(group, out), np.bincount(group, p))
+        ones += out
+    assert abs(ones / 300 - p).max() < 0.15 and len(settle(group[:0], p[:0], np.zeros(0, np.uint64))) == 0
+
+
+@pytest.mark.parametrize("bucket", [20_000, 50])
+def test_the_mix_is_the_same_over_any_partitions(spark, monkeypatch, bucket):
+    from spangraph.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 20 + i * i % 97) for i in range(2000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
+    mixes = []
+    for parts in (1, 4, 40):
+        mixed, plan = mix(docs.repartition(parts), targets)
+        mixes.append({(r.doc_id, r.copies) for r in mixed.collect()})
+        got = {r.source: r.share_of_total for r in shares(mixed, plan).collect()}
+        assert got["a"] == pytest.approx(0.7, abs=0.004) and got["b"] == pytest.approx(0.3, abs=0.004)
+    assert mixes[0] == mixes[1] == mixes[2] and mixes[0] != {(r.doc_id, r.copies) for r in mix(docs, targets, seed=2)[0].collect()}
+
+
+def test_a_lowered_total_holds_the_proportions(spark):
+    docs = spark.createDataFrame([(i, "big" if i < 900 else "tiny", 50) for i in range(920)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.6, 1), ("tiny", 0.3, 4), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in shares(*mix(docs, targets, short="shrink")).collect()}
+    assert got["tiny"].mixed_tokens == 4000 and got["big"].mixed_tokens == pytest.approx(8000, abs=60) and got["none"].mixed_tokens == 0
+    assert got["big"].share_of_mix == pytest.approx(2 / 3, abs=0.005) and got["tiny"].reachable and got["big"].reachable
 
 
 def test_mix_reaches_its_shares_or_says_so(spark):
