@@ -75,12 +75,35 @@ def test_tokens_are_the_librarys(spark):
     assert tk.encode(df.limit(0), "text").count() == 0
 
 
-def test_long_words_by_arrays_equal_the_query():
+def test_cutting_words_changes_no_token():
     e = tk.WordEncoder("byte_bpe_50k", tk.TOKENIZERS)
     rnd = random.Random(2)
-    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 60))) for _ in range(400)] + ["a" * n for n in range(1, 40)]
-    e._contract(list(dict.fromkeys(words)))
-    assert all(e.known[w] == e._contract_long(w) for w in words)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 60))) for _ in range(400)] + ["a" * n for n in range(1, 40)] + ["データの検索" * 20, "internationalizationofthewholecollection" * 9]
+    words += ["".join(chr(rnd.choice([rnd.randrange(97, 123), rnd.randrange(0x3040, 0x30FF), rnd.randrange(0x430, 0x450)])) for _ in range(300)) for _ in range(20)]
+    words = list(dict.fromkeys(words))
+    e.learn(set(words))
+    by_parts, e.parts = dict(e.known), {}
+    e.contract([w.encode() for w in words])
+    assert all(by_parts[w] == e.parts[w.encode()] for w in words)
+    cut = e.cut([w.encode() for w in words])
+    assert all(b"".join(c) == w.encode() for c, w in zip(cut, words)) and max(len(c) for c in cut) > 50
+
+
+def test_long_words_are_no_cliff():
+    import time
+
+    e = tk.WordEncoder("byte_bpe_50k", tk.TOKENIZERS)
+    rnd = random.Random(3)
+    words = {"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(250)) for _ in range(1500)} | {"x" * 100_000}
+    t = time.perf_counter()
+    e.learn(words)
+    assert time.perf_counter() - t < 20 and set(map(len, e.cut([b"x" * 100_000]))) == {1}
+
+
+def test_ids_outside_the_vocabulary(spark):
+    df = spark.createDataFrame([(1, [7_000_000, None, 0]), (2, None), (3, [])], "id int, ids array<int>")
+    got = {r.id: r.text for r in tk.decode(df, "ids").collect()}
+    assert got[1].startswith("\ufffd\ufffd") and len(got[1]) == 3 and got[2] == got[3] == ""
 
 
 # ---- look-alikes
