@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialise, table
 from .chunking import current_long_texts, split_text
 from .cooccurrence import pair_counts, plain_path
-from .handwritten import not_handwritten
+from .handwritten import judged_files, not_handwritten
 from .lookalike import consistent, same_looking_pairs
 from .mixing import mix, shares
 from .neighbours import nearest, referenced_vectors
@@ -54,6 +54,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "why_ignored_result"), table(spark, sf_dir, "nodes"))
 
 
+def p2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scanned file with the rule it was found by, null for hand-written ones."""
+    return judged_files(table(spark, sf_dir, "why_ignored_result"), table(spark, sf_dir, "nodes"))
+
+
 #: Files of a chunk: far below the limit of 50 files, so that ordinary commits too go by chunk pairs.
 P3_BLOCK = 16
 
@@ -131,7 +136,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-    "p2_found": p2_found, "p3_found": p3_found, "p3_strength": p3_strength, "p3_sweeping": p3_sweeping, "p4_found": p4_found, "p4_ranked": p4_ranked,
+    "p2_found": p2_found, "p2_rules": p2_rules, "p3_found": p3_found, "p3_strength": p3_strength, "p3_sweeping": p3_sweeping, "p4_found": p4_found, "p4_ranked": p4_ranked,
     "p6_found": p6_found, "p6_chunks": p6_chunks, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_held": p8_shares_held, "p9_found": p9_found, "p9_consistent": p9_consistent,
 }

@@ -204,3 +204,45 @@ def test_print_without_block_comments():
     assert bare and hw.code_print("/* a\n b */ int x;\n" + code) == hw.code_print("int x;\n" + code) != bare
     assert hw.code_print("/* never closed\n" + code) == bare
     assert hw.code_print(code.replace("value_c", "other")) != bare
+
+
+def _words(k: int) -> str:
+    rnd = random.Random(k)
+    name = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    return "".join(rnd.choice([f"def {name()}({name()}):\n    return {name()} + {name()}\n", f"for {name()} in {name()}:\n    {name()}.append({name()})\n", f"if {name()} is None:\n    raise {name()}\n"]) for _ in range(60))
+
+
+def test_near_copies_against_brute_force(spark):
+    lib, rnd = _words(1), random.Random(5)
+    files = [("File:r/vendor/l/x.py", lib), ("File:q/same.py", lib), ("File:q/one.py", lib.replace("return", "yield", 1)), ("File:q/other.py", _words(2)), ("File:q/half.py", lib[: len(lib) // 2] + _words(3)), ("File:q/tiny.py", "pass\n"), ("File:r/vendor/l/tiny.py", "pass\n")]
+    lines = lib.split("\n")
+    for k in range(2, 32):  # more and more lines changed, so similarities on both sides of the limit
+        own = [x if rnd.random() > k / 120 else x + f"  + extra{k}" for x in lines]
+        files.append((f"File:q/part{k}.py", "\n".join(own)))
+    files += [(f"File:q/again{k}.py", files[2][1]) for k in range(40)]
+    scanned = spark.createDataFrame([tuple(i[5:].split("/", 1)) for i, _ in files], "repo string, path string")
+    got = {(r.repo, r.path): r.rule for r in hw.judged_files(scanned, spark.createDataFrame([(*f, 1) for f in files], "id string, content string, indexed_at int")).collect()}
+    base, rules = set(hw.shingles(hw.code_of(lib)).tolist()), {}
+    for i, text in files:
+        own = set(hw.shingles(hw.code_of(text)).tolist())
+        rules[tuple(i[5:].split("/", 1))] = "near-copy" if own and len(own & base) >= 0.8 * len(own | base) else None
+    for key, rule in rules.items():
+        want = "place" if key[1].startswith("vendor") else "copy" if key[1] == "same.py" else rule
+        assert got[key] == want, key
+    assert sum(r == "near-copy" for r in rules.values()) > 45 and sum(r is None for r in rules.values()) > 8
+
+
+def test_limits_lie_between_hand_written_and_made():
+    hand = [("py", CODE + f"x{i} = {i}\n", False) for i in range(20)]
+    made = [("py", "".join(f"    {i * k}, {i}, 7, 19, 230,\n" for i in range(40)), True) for k in range(1, 9)]
+    limits = hw.fit_limits(hand + made)
+    last, middle = max(hw.layout(t)["numbers"] for _, t, _ in hand), min(hw.layout(t)["numbers"] for _, t, _ in made)
+    assert last < limits["py"]["numbers"] < middle and limits["py"] == limits[None]
+    assert hw.fit_limits([]) == {} and all(set(v) == set(hw.GREATER) for v in hw.LIMITS.values())
+
+
+def test_every_file_has_one_rule(spark):
+    scanned = spark.createDataFrame([("r", "vendor/a.py"), ("r", "b.py"), ("r", "b.py"), ("r", "c.py"), ("r", "d.min.js"), ("r", "e.py"), (None, "x")], "repo string, path string")
+    nodes = spark.createDataFrame([("File:r/vendor/a.py", CODE, 1), ("File:r/b.py", CODE, 1), ("File:r/c.py", CODE.replace("total", "sum_of") * 2, 1), ("File:r/e.py", "# Code generated by x. DO NOT EDIT.\n" + CODE.replace("rows", "lines") * 3, 1)], "id string, content string, indexed_at int")
+    got = sorted((r.path, r.rule) for r in hw.judged_files(scanned, nodes).fillna("-").collect())
+    assert got == [("b.py", "copy"), ("c.py", "-"), ("d.min.js", "name"), ("e.py", "mark"), ("vendor/a.py", "place")]
