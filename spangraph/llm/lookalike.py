@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of the same shape, Latin first, then Greek and Cyrillic.
+from ..runtime import materialise
+
+# Letters of the same shape, Latin first, then Greek, Cyrillic, Armenian, Cherokee and phonetic letters.
 SAME_SHAPE = [
-    "AΑА", "BΒВ", "CϹС", "EΕЕ", "GԌ", "HΗН", "IΙІӀ", "JͿЈ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "QԚ", "SЅ", "TΤТ", "VѴ", "WԜ", "XΧХ", "YΥУҮ", "ZΖ",
-    "aа", "cϲс", "dԁ", "eе", "hһ", "iі", "jϳј", "lӏ", "oοо", "pρр", "qԛ", "sѕ", "vνѵ", "wԝ", "xх", "yу",
+    "AΑАᎪ", "BΒВᏴ", "CϹСᏟ", "DᎠ", "EΕЕᎬ", "GԌᏀ", "HΗНᎻ", "IΙІӀ", "JͿЈᎫ", "KΚКᏦ", "LԼᏞ", "MΜМᎷ", "NΝ", "OΟОՕ", "PΡРᏢ", "QԚ", "RᎡ", "SЅՏᏚ", "TΤТᎢ", "UՍ", "VѴᏙ", "WԜᎳ", "XΧХ", "YΥУҮ", "ZΖᏃ",
+    "aа", "cϲс", "dԁ", "eе", "gɡց", "hһհ", "iі", "jϳј", "lӏ", "nո", "oοоօ", "pρр", "qԛզ", "sѕ", "uս", "vνѵ", "wԝ", "xх", "yу",
     "ΓГ", "ΠП", "ΦФ",
 ]
 # Invisible characters that are no format characters (Cf), as ranges.
@@ -47,16 +49,20 @@ SWITCH = -12.0
 
 SHAPE = {c: group[0] for group in SAME_SHAPE for c in group}
 GROUP = {group[0]: group for group in SAME_SHAPE}
+# Fixed value: phonetic letters that are written for a Latin one and never meant in a word.
+PHONETIC = "ɡ"
 
 
 def script(c: str) -> str:
-    """Latin, Greek, Cyrillic or none, by the block of a base letter."""
+    """Latin, Greek, Cyrillic, Armenian, Cherokee or none, by the block of a base letter."""
     o = ord(c)
-    if o < 0x250:
+    if o < 0x2B0:
         return "L" if c.isalpha() else ""
     if 0x370 <= o < 0x400:
         return "G"
-    return "C" if 0x400 <= o < 0x530 else ""
+    if 0x400 <= o < 0x530:
+        return "C"
+    return "A" if o < 0x590 and o >= 0x530 else "K" if 0x13A0 <= o < 0x1400 else ""
 
 
 @lru_cache(maxsize=65536)
@@ -119,6 +125,9 @@ class Reader:
         self.known: dict[str, str] = {}
         self.seen: dict[str, str] = {}
         self.scores: dict[tuple[str, str], float] = {}
+        # a letter of a rarer script can be meant only if the collection has words of that script
+        used = {script(c) for pair in pairs for c in pair if len(c) == 1} | set("LGC")
+        self.group = {k: "".join(c for c in g if c == k or (script(c) in used and c not in PHONETIC)) for k, g in GROUP.items()}
 
     def score(self, a: str, b: str) -> float:
         s = self.scores.get((a, b))
@@ -136,7 +145,7 @@ class Reader:
         trail = []
         for c in shapes:
             now = {}
-            for letter in GROUP.get(c, c):
+            for letter in self.group.get(c, c):
                 now[letter] = max(((s + self.score(a, letter), a) for a, (s, _) in best.items()), key=lambda x: x[0])
             trail.append(now)
             best = now
@@ -177,8 +186,8 @@ class Reader:
 def letter_pairs(df: DataFrame, text: str) -> dict[tuple[str, str], int]:
     """How often letter follows letter in all words of one script; at most one row for each two letters of an alphabet.
 
-    A word counts if all its letters, as they are stored, are of one script. Only Latin, Greek and
-    Cyrillic base letters are counted, which bounds the table.
+    A word counts if all its letters, as they are stored, are of one script. Only base letters of the
+    scripts that have look-alikes are counted, which bounds the table.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,23 +234,33 @@ def consistent(df: DataFrame, text: str, out: str = "consistent") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-#: Documents of one look that are compared with one another in one group of the join.
+#: Texts of one look that are compared with one another in one group of the join.
 BLOCK = 512
 
 
+def same_looking_texts(docs: DataFrame) -> DataFrame:
+    """``a, b`` with a < b: the digests of different texts that have one look.
+
+    Equal texts are one row here. A look that many different texts share is cut into blocks, and each
+    pair of blocks meets on its own, so no task holds a whole group.
+    """
+    texts = docs.select("look", "exact").distinct()
+    several = texts.groupBy("look").agg(F.count("*").alias("n")).filter("n > 1").select("look", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    texts = texts.join(several, "look")
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("exact"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = texts.select("look", "exact", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    a = texts.filter("block = i").select("look", "i", "j", F.col("exact").alias("a"))
+    b = texts.filter("block = j").select("look", "i", "j", F.col("exact").alias("b"))
+    pairs = a.join(b, ["look", "i", "j"]).filter("(i = j and a < b) or (i <> j and a <> b)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def same_looking_pairs(docs: DataFrame, key: str) -> DataFrame:
     """``doc_a, doc_b`` with equal ``look`` and different ``exact``, smaller key first.
 
-    A look that many documents share is cut into blocks, and each pair of blocks meets on its own,
-    so no task holds a whole group. Looks with only one exact text are dropped before.
+    Pairs are those of texts first; their documents are put in afterwards, by joins on the text alone.
     """
-    docs = docs.select(F.col(key).alias("doc"), "look", "exact").filter("look is not null")
-    several = docs.groupBy("look").agg(F.count("*").alias("n"), F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi")
-    several = several.select("look", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    docs = docs.join(several, "look")
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    docs = docs.select("look", "doc", "exact", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    a = docs.filter("block = i").select("look", "i", "j", F.col("doc").alias("x"), F.col("exact").alias("ex"))
-    b = docs.filter("block = j").select("look", "i", "j", F.col("doc").alias("y"), F.col("exact").alias("ey"))
-    pairs = a.join(b, ["look", "i", "j"]).filter("ex <> ey and ((i = j and x < y) or (i <> j and x <> y))")
-    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    docs = docs.select(F.col(key).alias("doc"), "look", "exact").filter("look is not null and doc is not null")
+    texts = materialise(same_looking_texts(docs), "same-looking-texts")
+    found = texts.join(docs.select(F.col("exact").alias("a"), F.col("doc").alias("x")), "a").join(docs.select(F.col("exact").alias("b"), F.col("doc").alias("y")), "b")
+    return found.filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))

@@ -4,7 +4,30 @@ from __future__ import annotations
 
 import unicodedata
 
-from .lookalike import SHAPE
+# What each letter of another script looks like, by Unicode's names. This table is for the SQL alone.
+LOOKS = {
+    "GREEK CAPITAL LETTER": "A=ALPHA B=BETA E=EPSILON Z=ZETA H=ETA I=IOTA K=KAPPA M=MU N=NU O=OMICRON P=RHO T=TAU Y=UPSILON X=CHI J=YOT",
+    "GREEK SMALL LETTER": "o=OMICRON v=NU p=RHO",
+    "GREEK": "C=CAPITAL_LUNATE_SIGMA_SYMBOL c=LUNATE_SIGMA_SYMBOL j=LETTER_YOT",
+    "CYRILLIC CAPITAL LETTER": "A=A B=VE C=ES E=IE G=KOMI_SJE H=EN I=BYELORUSSIAN-UKRAINIAN_I J=JE K=KA M=EM O=O P=ER Q=QA S=DZE T=TE V=IZHITSA W=WE X=HA Y=U Γ=GHE Π=PE Φ=EF",
+    "CYRILLIC CAPITAL": "Y=LETTER_STRAIGHT_U",
+    "CYRILLIC SMALL LETTER": "a=A c=ES d=KOMI_DE e=IE h=SHHA i=BYELORUSSIAN-UKRAINIAN_I j=JE l=PALOCHKA o=O p=ER q=QA s=DZE v=IZHITSA w=WE x=HA y=U",
+    "CYRILLIC LETTER": "I=PALOCHKA",
+    "ARMENIAN CAPITAL LETTER": "L=LIWN O=OH S=TIWN U=SEH",
+    "ARMENIAN SMALL LETTER": "g=CO h=HO n=VO o=OH q=ZA u=SEH",
+    "CHEROKEE LETTER": "A=GO B=YV C=TLI D=A E=GV G=NAH H=MI J=GU K=TSO L=TLE M=LU P=TLV R=E S=DU T=I V=DO W=LA Z=NO",
+    "LATIN SMALL LETTER": "g=SCRIPT_G",
+}
+
+
+def _shapes() -> dict[str, str]:
+    """Letter to the letter that it looks like."""
+    out = {}
+    for prefix, pairs in LOOKS.items():
+        for pair in pairs.split():
+            plain, name = pair.split("=")
+            out[unicodedata.lookup(f"{prefix} {name.replace('_', ' ')}")] = plain
+    return out
 
 
 def _quoted(text: str) -> str:
@@ -13,14 +36,15 @@ def _quoted(text: str) -> str:
 
 def _look_sql() -> str:
     """SQL for the shapes of a text: composed, without invisible characters, with plain widths, ligatures and letters."""
+    look = _shapes()
     wide = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFA0)]}
     wide |= {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in (0xFF9E, 0xFF9F)}
     several = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFB00, 0xFB07), *range(0x2160, 0x2180)]}
     shapes = {}
-    for c in map(chr, range(0x80, 0x530)):  # letters with accents too
+    for c in map(chr, [*range(0x80, 0x590), *range(0x13A0, 0x1400)]):  # letters with accents too
         parts = unicodedata.normalize("NFD", c)
-        plain = unicodedata.normalize("NFC", SHAPE.get(parts[0], parts[0]) + parts[1:])
-        if plain != c and len(plain) == 1 and parts[0] in SHAPE:
+        plain = unicodedata.normalize("NFC", look.get(parts[0], parts[0]) + parts[1:])
+        if plain != c and len(plain) == 1 and parts[0] in look:
             shapes[c] = plain
     sql = "regexp_replace(regexp_replace(text, '[\\p{Cf}\\x{34F}\\x{115F}\\x{1160}\\x{3164}\\x{FFA0}\\x{FE00}-\\x{FE0F}]', '', 'g'), '\\p{Zs}', ' ', 'g')"
     sql = f"translate({sql}, {_quoted(''.join(wide))}, {_quoted(''.join(wide.values()))})"

@@ -129,6 +129,19 @@ def test_looks_different(a, b):
     assert r.text(a) != r.text(b)
 
 
+def test_the_tables_of_the_operator_and_of_its_sql_agree():
+    from spangraph.llm.oracle import _shapes
+
+    assert {c: g for c, g in la.SHAPE.items() if c != g} == _shapes()
+
+
+@pytest.mark.parametrize("a, b", [("LOCO", "ԼՕСО"), ("HAWK", "ᎻᎪᎳᏦ"), ("go", "ɡo"), ("no", "ոօ")])
+def test_rarer_scripts_look_the_same_and_their_own_words_stay(a, b):
+    assert la.Reader(PAIRS).text(a) == la.Reader(PAIRS).text(b) == la.Reader({}).text(a)
+    native = {("^", "ո"): 50, ("ո", "ւ"): 50, ("ւ", "մ"): 50, ("մ", "$"): 50, ("^", "a"): 50, ("a", "$"): 50}
+    assert la.Reader(native).text("ում") == "ում" and la.Reader(native).text("a") == "a"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_the_form_is_stable(text):
