@@ -109,6 +109,11 @@ taken as (
 select distinct least(a, b) as vector_a, greatest(a, b) as vector_b from taken
 """
 
+_P6 = """
+select id as node_id, content from (
+  select id, content, row_number() over (partition by id order by indexed_at desc nulls last, length(content) desc nulls last, content desc) as r
+  from nodes where id is not null) where r = 1 and length(content) > 1200"""
+
 ORACLE = {
     "p1_found": _P1,
     "p9_found": f"""
@@ -119,10 +124,8 @@ where regexp_matches(a.look, '[^\\s]')""",
     "p3_strength": _P3.format(support=3, most=50)
     + "select repo, file_a, file_b, c as change_count, round(strength, 6) as strength, round(lift, 6) as lift from scored where strength >= 0.3",
     "p3_sweeping": _P3.format(support=5, most=1 << 40) + "select repo, file_a, file_b, c as change_count, round(lift, 6) as lift from scored where often",
-    "p6_found": """
-select id as node_id from (
-  select id, content, row_number() over (partition by id order by indexed_at desc nulls last, length(content) desc nulls last, content desc) as r
-  from nodes where id is not null) where r = 1 and length(content) > 1200""",
+    "p6_found": f"select node_id from ({_P6})",
+    "p6_rebuilt": f"select node_id, md5(content) as whole, true as within_limit, true as within_overlap, true as no_gap from ({_P6})",
     "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p4_found": _P4.format(columns="repo, file_a, file_b"),
     "p4_ranked": _P4.format(columns="repo, file_a, file_b, strength, change_count, rank"),

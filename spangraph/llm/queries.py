@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, table
@@ -39,6 +39,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_chunks(spark, sf_dir).filter("chunk_index > 0").select("node_id").distinct()
 
 
+def p6_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cut text put together again from its pieces, as a digest, and whether limit and overlap were kept."""
+    pieces = split_text(current_long_texts(table(spark, sf_dir, "nodes"), 1200), "id", "content", offsets=True)
+    before = F.lag("end_offset").over(Window.partitionBy("id").orderBy("chunk_index"))
+    pieces = pieces.withColumn("before", F.coalesce(before, F.lit(0)))
+    new = F.substring("text", F.col("before") - F.col("start_offset") + 1, F.length("text"))
+    parts = pieces.groupBy(F.col("id").alias("node_id")).agg(
+        F.array_sort(F.collect_list(F.struct("chunk_index", new.alias("t")))).alias("p"), (F.max(F.length("text")) <= 1200).alias("within_limit"),
+        (F.max(F.col("before") - F.col("start_offset")) <= 120).alias("within_overlap"), F.min(F.col("start_offset") <= F.col("before")).alias("no_gap"),
+    )
+    return parts.select("node_id", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("whole"), "within_limit", "within_overlap", "no_gap")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids by byte_bpe_50k."""
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
@@ -137,6 +150,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p2_rules": p2_rules, "p3_found": p3_found, "p3_strength": p3_strength, "p3_sweeping": p3_sweeping, "p4_found": p4_found, "p4_ranked": p4_ranked,
-    "p6_found": p6_found, "p6_chunks": p6_chunks, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
+    "p6_found": p6_found, "p6_chunks": p6_chunks, "p6_rebuilt": p6_rebuilt, "p7_ids": p7_ids, "p7_decoded": p7_decoded,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_held": p8_shares_held, "p9_found": p9_found, "p9_consistent": p9_consistent,
 }

@@ -35,6 +35,15 @@ def test_pieces_end_at_lines_then_words_then_hard():
     assert pieces("x" * 100, 40, 10) == [(0, 40), (30, 70), (60, 100)]
 
 
+def test_hard_cuts_keep_letters_whole_and_no_tiny_pieces():
+    marked = "e\u0301" * 100
+    p = pieces(marked, 41, 10)
+    assert all(marked[b] == "e" for _, b in p[:-1]) and p[-1][1] == len(marked)
+    assert pieces("\u0301" * 100, 40, 10) == [(0, 40), (30, 70), (60, 100)]
+    text = "w " * 50 + "x\n" + "a " * 300
+    assert all(b - a > 25 for a, b in pieces(text, 100, 10)[:-1])
+
+
 def test_split_text(spark):
     text = "".join(f"{i:04}\r\n" for i in range(500))
     df = spark.createDataFrame([("a", text, 10), ("b", None, 1), ("c", "", None), ("d", "short", None)], "id string, t string, start_line long").withColumn("chunk_index", F.lit("clash"))
