@@ -87,27 +87,69 @@ def bfs(edges: DataFrame, anchors: DataFrame, *, up: bool = False, max_depth: in
     return seen, partial
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 10) -> DataFrame:
-    """``hops, path``: the shortest directed path, of equally short ones the first in id order.
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 10, *, tests: Column | None = None) -> DataFrame:
+    """``found, hops, path``: the shortest directed path, of equally short ones the first in id order.
 
-    Without a path: the furthest node reached, as ``hops`` with the path to it and ``found`` false.
+    Layers of bare ids grow from both ends, the smaller one first, until they meet; then the layers are
+    cut to the nodes between, and the path is walked through them. Without a path: the furthest node
+    reached, as ``hops`` with the path to it and ``found`` false. ``tests`` is a condition on ``id``
+    of nodes that a path may not go through, such as test files.
     """
-    step = materialise(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "path-edges")
+    step = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    if tests is not None:
+        bad = step.select(F.col("dst").alias("id")).unionAll(step.select(F.col("src").alias("id"))).distinct().filter(tests).filter(~F.col("id").isin(source, target))
+        for end in ("src", "dst"):
+            step = step.join(bad.withColumnRenamed("id", end), end, "left_anti")
+    step = materialise(step.select("src", "dst"), "path-edges")
     spark = edges.sparkSession
-    seen = materialise(spark.createDataFrame([(source, [source])], "id string, path array<string>").withColumn("hops", F.lit(0)), "path")
-    frontier, there = seen, source == target
-    for hops in range(1, max_depth + 1):
-        if there:
-            break
-        reached = frontier.join(step, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("path").alias("p"))
-        new = reached.select(F.col("dst").alias("id"), F.concat("p", F.array("dst")).alias("path"), F.lit(hops).alias("hops"))
-        new = materialise(new.join(seen.select("id"), "id", "left_anti"), "path")
-        n, there = new.agg(F.count("*"), F.max(F.col("id") == target)).first()
-        if not n:
-            break
-        seen, frontier = seen.unionByName(new), new
-    found = F.col("id") == target
-    return seen.select(found.alias("found"), "hops", "path").orderBy(F.desc("found"), F.desc("hops"), "path").limit(1)
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    if source == target:
+        return spark.createDataFrame([(True, 0, [source])], "found boolean, hops int, path array<string>")
+
+    def grow(layers: list[DataFrame], a: str, b: str) -> int:
+        new = layers[-1].join(step.withColumnRenamed(a, "id"), "id").select(F.col(b).alias("id")).distinct()
+        for old in layers:
+            new = new.join(old, "id", "left_anti")
+        new = materialise(new, "path")
+        n = new.count()
+        if n:
+            layers.append(new)
+        return n
+
+    ahead, back, sizes, met = [one(source)], [one(target)], [1, 1], None
+    while len(ahead) + len(back) - 2 < max_depth and min(sizes) and met is None:
+        side = int(sizes[1] < sizes[0])
+        sizes[side] = grow(back, "dst", "src") if side else grow(ahead, "src", "dst")
+        both = ahead[-1].join(back[-1], "id", "left_semi")
+        if sizes[side] and both.limit(1).count():
+            met = materialise(both, "path")
+    if met is None:
+        while sizes[0] and len(ahead) - 1 < max_depth:
+            sizes[0] = grow(ahead, "src", "dst")
+        met, back = ahead[-1], [ahead[-1]]
+    between = [met]  # the nodes of each place of all shortest paths
+    for layer in reversed(ahead[:-1]):
+        near = step.join(between[0].withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+        between.insert(0, materialise(layer.join(near.distinct(), "id", "left_semi"), "path"))
+    for layer in reversed(back[:-1]):
+        near = step.join(between[-1].withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+        between.append(materialise(layer.join(near.distinct(), "id", "left_semi"), "path"))
+    path = [source]
+    for place in between[1:]:  # one node a hop
+        path.append(step.filter(F.col("src") == path[-1]).join(place.withColumnRenamed("id", "dst"), "dst").agg(F.min("dst").alias("m")).first().m)
+    return spark.createDataFrame([(path[-1] == target, len(path) - 1, path)], "found boolean, hops int, path array<string>")
+
+
+def two_hop_counts(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``src, n``: how many different ends each start reaches over two edges, for integer ids (``src, dst``).
+
+    Far ends are gathered as bitmaps before the shuffle, so a pair that many middles join is one bit.
+    """
+    a = first.select("src", F.col("dst").alias("mid")).filter("src is not null and mid is not null").distinct()
+    b = second.select(F.col("src").alias("mid"), "dst").filter("mid is not null and dst is not null").distinct()
+    far = a.join(b, "mid").select("src", F.call_function("bitmap_bucket_number", "dst").alias("bucket"), F.call_function("bitmap_bit_position", "dst").alias("bit"))
+    maps = far.groupBy("src", "bucket").agg(F.call_function("bitmap_construct_agg", "bit").alias("bits"))
+    return maps.groupBy("src").agg(F.sum(F.call_function("bitmap_count", "bits")).alias("n"))
 
 
 def paths(edges: DataFrame, anchors: DataFrame, min_length: int, max_length: int, *, edge_unique: bool = False) -> DataFrame:

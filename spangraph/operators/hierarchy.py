@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +34,14 @@ def mro_breadth_first(parents: DataFrame) -> DataFrame:
     return seen.select("type", "ancestor", F.row_number().over(order).alias("position"))
 
 
-def c3(parents: dict[str, list[str]], of: str, stack: tuple[str, ...] = ()) -> list[str] | None:
-    """The C3 linearisation of a type, itself first; None for a cycle or an inconsistent order."""
-    if of in stack:
+def c3_merge(of: str, parents: list[str], lines: list[list[str] | None]) -> list[str] | None:
+    """The C3 linearisation of a type from those of its parents, in order; None for an inconsistent order."""
+    if any(line is None for line in lines):
         return None
-    sequences = []
-    for p in parents.get(of, []):
-        line = c3(parents, p, (*stack, of))
-        if line is None:
-            return None
-        sequences.append(line)
-    sequences.append(list(parents.get(of, [])))
-    out = [of]
+    sequences, out = [[*line] for line in lines] + [list(parents)], [of]
     while sequences := [s for s in sequences if s]:
-        head = next((s[0] for s in sequences if not any(s[0] in o[1:] for o in sequences)), None)
+        behind = {x for s in sequences for x in s[1:]}
+        head = next((s[0] for s in sequences if s[0] not in behind), None)
         if head is None:
             return None
         out.append(head)
@@ -54,25 +50,42 @@ def c3(parents: dict[str, list[str]], of: str, stack: tuple[str, ...] = ()) -> l
 
 
 def mro_c3(parents: DataFrame) -> DataFrame:
-    """``type, mro``: C3 order of every type, null where there is none.
+    """``type, mro``: C3 order of every type, null where there is none, for a cycle or an inconsistent order.
 
-    Each type is given the part of the hierarchy above it, from the closure, so types are linearised
-    apart from each other; a hierarchy's size bounds what one group holds.
+    Types are linearised in waves: in each those whose parents all are. So every type is merged once,
+    from its parents' orders, and what no wave reaches lies in a cycle or under one.
     """
-    pairs = parents.select("type", "parent", "position")
-    above = closure(pairs.select(F.col("type").alias("src"), F.col("parent").alias("dst")))
-    own = pairs.select("type").distinct().select(F.col("type").alias("of"), "type")
-    needed = above.select(F.col("src").alias("of"), F.col("dst").alias("type")).unionByName(own).distinct()
-    rows = needed.join(pairs, "type")
-
-    def linearise(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = pdf["of"].iloc[0]
-        known: dict[str, list[str]] = {}
-        for r in pdf.sort_values(["type", "position"]).itertuples():
-            known.setdefault(r.type, []).append(r.parent)
-        return pd.DataFrame({"type": [of], "mro": [c3(known, of)]})
-
-    return rows.groupBy("of").applyInPandas(linearise, "type string, mro array<string>")
+    known = parents.filter("type is not null and parent is not null").groupBy("type", "parent").agg(F.min("position").alias("position"))
+    todo = materialise(known.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("position", "parent"))).alias("up")), "c3")
+    roots = known.select(F.col("parent").alias("type")).distinct().join(todo.select("type"), "type", "left_anti")
+    ready = materialise(roots.select("type", F.array("type").alias("mro")), "c3")
+    done: list[DataFrame] = []
+    kinds = "type string, up array<struct<position:long,parent:string>>, got array<struct<parent:string,mro:array<string>>>"
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types, lines = batch.column(0).to_pylist(), []
+            for of, up, got in zip(types, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                line = {g["parent"]: g["mro"] for g in got}
+                order = [u["parent"] for u in up]
+                lines.append(c3_merge(of, order, [line[x] for x in order]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.string()))], names=["type", "mro"])
+
+    waiting = todo.select("type", "up", F.array().cast("array<struct<parent:string,mro:array<string>>>").alias("got"))
+    while ready.limit(1).count():
+        wave = waiting.select("type", F.explode("up.parent").alias("parent")).join(ready.select(F.col("type").alias("parent"), "mro"), "parent")
+        came = wave.groupBy("type").agg(F.collect_list(F.struct("parent", "mro")).alias("came"))
+        # orders that have come are kept with the types that still wait for others
+        waiting = waiting.join(came, "type", "left").select("type", "up", F.concat("got", F.coalesce("came", F.array().cast("array<struct<parent:string,mro:array<string>>>"))).alias("got"))
+        waiting = materialise(waiting.select(*[F.col(x.split(" ")[0]).cast(x.split(" ")[1]) for x in kinds.split(", ")]), "c3")
+        whole = F.size("got") == F.size("up")
+        ready = materialise(waiting.filter(whole).mapInArrow(merge, "type string, mro array<string>"), "c3")
+        waiting = waiting.filter(~whole)
+        done.append(ready)
+    out = waiting.select("type", F.lit(None).cast("array<string>").alias("mro"))
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def subtypes(parents: DataFrame) -> DataFrame:

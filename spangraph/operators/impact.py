@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import bfs, confidence, of_type
-from .windows import page
+from .windows import first_n, page
 
 DEFAULT_LIMIT, AGENT_LIMIT = 100, 30
 
@@ -62,10 +62,16 @@ def impact_page(reached: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0)
     return page(reached, ["anchor", "depth"], [F.asc("id")], limit, offset)
 
 
+def candidates(nodes: DataFrame, window: int = 20) -> DataFrame:
+    """``name, id, label, file_path, candidates, rank``: the nodes of each name, at most the ``window`` with the lowest ids, with the number there are."""
+    named = nodes.filter("name is not null").select("name", "id", "label", "file_path")
+    counted = named.join(named.groupBy("name").agg(F.count("*").alias("candidates")), "name")
+    return first_n(counted, ["name"], [F.asc("id")], window)
+
+
 def ambiguous(nodes: DataFrame, name: str, window: int = 20) -> DataFrame:
-    """The candidates of a name, at most the ``window`` with the lowest ids, with the number there are."""
-    found = nodes.filter(F.col("name") == name)
-    return found.select("id", "label", "file_path", F.count("*").over(Window.partitionBy("name")).alias("candidates")).orderBy("id").limit(window)
+    """The candidates of one name."""
+    return candidates(nodes.filter(F.col("name") == name), window).select("id", "label", "file_path", "candidates").orderBy("id")
 
 
 def cap_fan_out(neighbours: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:

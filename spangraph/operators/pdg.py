@@ -209,10 +209,10 @@ def block_facts(cfg: DataFrame) -> DataFrame:
 BRANCH = {"cond-true": "T", "true": "T", "cond-false": "F", "false": "F"}
 
 
-def control_dependence(cfg: DataFrame, cap: int = 10_000) -> DataFrame:
+def control_dependence(cfg: DataFrame, cap: int | None = None) -> DataFrame:
     """``fn_id, src_block, dst_block, label``: blocks that run or not by a branch of another; T, F or the kind of the branch edge.
 
-    ``cap`` bounds the rows of one function, in the order of blocks, as the reference does.
+    ``cap`` bounds the rows of one function, in the order of blocks; without it all are given.
     """
 
     def depend(fn: str, edges: list[tuple]) -> Iterator[tuple]:
@@ -229,39 +229,48 @@ def control_dependence(cfg: DataFrame, cap: int = 10_000) -> DataFrame:
     return per_function(_edges(cfg), _EDGE, depend, "fn_id string, src_block int, dst_block int, label string")
 
 
-def _reach(edges: list[tuple], sites: list[tuple]) -> set[tuple]:
-    """(variable, def_block, def_line, use_block, use_line) of one function, by the usual fixpoint over blocks."""
+def _reach(edges: list[tuple], sites: list[tuple]) -> list[tuple]:
+    """(variable, def_block, def_line, use_block, use_line) of one function: one bit a definition, a worklist over blocks."""
     out, back = _graph(edges)
     by: dict[int, list[tuple]] = {}
     for block, _, line, variable, kind in sorted(sites):
         by.setdefault(block, []).append((line, variable, kind))
         out.setdefault(block, [])
         back.setdefault(block, [])
-    last = {b: {v: (b, line) for line, v, kind in s if kind == "def"} for b, s in by.items()}
-    ins: dict[int, set] = {b: set() for b in out}
-    order = reverse_post_order(out)
-    order += sorted(set(out) - set(order))
-    changed = True
-    while changed:
-        changed = False
-        for b in order:
-            got = set()
-            for p in back[b]:
-                gen = last.get(p, {})
-                got |= {(v, d) for v, d in ins[p] if v not in gen} | set(gen.items())
-            if got != ins[b]:
-                ins[b], changed = got, True
+    defs = [(b, line, v) for b, here in by.items() for line, v, kind in here if kind == "def"]
+    of: dict[str, int] = {}
+    bit: dict[tuple, int] = {}
+    for k, (b, line, v) in enumerate(defs):
+        of[v] = of.get(v, 0) | 1 << k
+        bit[b, line, v] = bit.get((b, line, v), 0) | 1 << k
+    gen, kill, coming = {}, {}, dict.fromkeys(out, 0)
+    for b, here in by.items():
+        last = {v: bit[b, line, v] for line, v, kind in here if kind == "def"}
+        gen[b] = sum(last.values())
+        kill[b] = ~sum(of[v] for v in last)
+    todo = set(out)
+    order = {b: i for i, b in enumerate(reverse_post_order(out))}
+    while todo:
+        b = min(todo, key=lambda x: order.get(x, len(order)))
+        todo.discard(b)
+        leaving = coming[b] & kill.get(b, -1) | gen.get(b, 0)
+        for n in out[b]:
+            if leaving & ~coming[n]:
+                coming[n] |= leaving
+                todo.add(n)
     rows = set()
     for b, here in by.items():
-        live: dict[str, set] = {}
-        for v, d in ins[b]:
-            live.setdefault(v, set()).add(d)
+        live = {v: coming[b] & bits for v, bits in of.items()}
         for line, v, kind in here:
-            if kind == "use":
-                rows |= {(v, *d, b, line) for d in live.get(v, ())}
-            else:
-                live[v] = {(b, line)}
-    return rows
+            if kind == "def":
+                live[v] = bit[b, line, v]
+                continue
+            bits = live.get(v, 0)
+            while bits:
+                at, from_, _ = defs[(bits & -bits).bit_length() - 1]
+                rows.add((v, at, from_, b, line))
+                bits &= bits - 1
+    return sorted(rows)
 
 
 def reaching_definitions(cfg: DataFrame, accesses: DataFrame) -> DataFrame:
@@ -273,7 +282,7 @@ def reaching_definitions(cfg: DataFrame, accesses: DataFrame) -> DataFrame:
     joined = sites.join(_edges(cfg), "fn_id", "left")
 
     def reach(fn: str, edges: list[tuple], own: list[tuple]) -> Iterator[tuple]:
-        for row in sorted(_reach(edges, own)):
+        for row in _reach(edges, own):
             yield fn, *row
 
     lists = _EDGE | {"a": ["block", "seq", "line", "variable", "kind"]}
@@ -321,7 +330,7 @@ def taint_within(flows: DataFrame, sources: DataFrame, sinks: DataFrame, sanitiz
     return per_function(facts.filter("s and k").select("fn_id", "f"), {"f": ["what", "a", "b", "kind"]}, spread, "fn_id string, source_line long, sink_line long, kind string, hops int")
 
 
-def taint_across(entries: DataFrame, param_calls: DataFrame, param_sinks: DataFrame, *, cap: int = 1000) -> DataFrame:
+def taint_across(entries: DataFrame, param_calls: DataFrame, param_sinks: DataFrame, *, cap: int | None = None) -> DataFrame:
     """``source, fn, param, kind, sink, depth, confidence``: sources that reach a sink through calls, by semi-naive rounds until nothing is new.
 
     ``entries`` has ``source, fn, param``: tainted arguments; ``param_calls`` has ``fn, param, callee,
@@ -336,7 +345,8 @@ def taint_across(entries: DataFrame, param_calls: DataFrame, param_sinks: DataFr
             break
         seen, frontier = seen.unionByName(new), new
     found = seen.join(param_sinks, ["fn", "param"]).groupBy("source", "fn", "param", "kind", "sink").agg(F.min("depth").alias("depth"))
-    return found.withColumn("confidence", F.lit(0.6)).orderBy("source", "sink", "kind", "fn", "param").limit(cap)
+    found = found.withColumn("confidence", F.lit(0.6))
+    return found if cap is None else found.orderBy("source", "sink", "kind", "fn", "param").limit(cap)
 
 
 def guards(dependences: DataFrame, blocks: DataFrame, fn_prefix: str | None = None) -> DataFrame:

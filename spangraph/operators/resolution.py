@@ -50,9 +50,13 @@ def enclosing(scopes: DataFrame, start: DataFrame, wanted: Column) -> DataFrame:
     return out
 
 
-def innermost(positions: DataFrame, spans: DataFrame) -> DataFrame:
-    """``ref, id``: the smallest span of the same file that holds a line; both ends count."""
-    near = positions.join(spans.select("file", "id", "start_line", "end_line"), "file").filter((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
+def innermost(positions: DataFrame, spans: DataFrame, *, bucket: int = 256) -> DataFrame:
+    """``ref, id``: the smallest span of the same file that holds a line; both ends count.
+
+    Spans are cut into stretches of ``bucket`` lines, so a line meets only the spans of its stretch.
+    """
+    cut = spans.filter("start_line <= end_line").select("file", "id", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))).alias("_b"))
+    near = positions.withColumn("_b", F.floor(F.col("line") / bucket)).join(cut, ["file", "_b"]).filter((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
     best = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "id")
     return near.groupBy("ref").agg(F.min(best).alias("b")).select("ref", "b.id")
 
@@ -158,7 +162,9 @@ def boundary_pairs(edges: DataFrame, labels: DataFrame, declared: DataFrame) ->
     """``from_label, to_label, n, problem`` of edges whose pair of labels isn't declared; unknown labels are skipped and counted."""
     of = lambda c: F.when(F.col(c).startswith("comm_"), "Community").when(F.col(c).startswith("proc_"), "Process").otherwise(F.substring_index(F.col(c), ":", 1))
     pairs = edges.select(of("src").alias("from_label"), of("dst").alias("to_label")).groupBy("from_label", "to_label").agg(F.count("*").alias("n"))
-    known = [r.label for r in labels.select("label").distinct().limit(1000).collect()]
-    unknown = ~F.col("from_label").isin(known) | ~F.col("to_label").isin(known)
-    marked = pairs.join(declared.select("from_label", "to_label", F.lit(True).alias("ok")), ["from_label", "to_label"], "left")
+    known = labels.select("label").distinct()
+    marked = pairs.join(declared.select("from_label", "to_label", F.lit(True).alias("ok")).distinct(), ["from_label", "to_label"], "left")
+    for end in ("from_label", "to_label"):
+        marked = marked.join(known.select(F.col("label").alias(end), F.lit(True).alias(f"{end}_known")), end, "left")
+    unknown = F.col("from_label_known").isNull() | F.col("to_label_known").isNull()
     return marked.filter("ok is null").select("from_label", "to_label", "n", F.when(unknown, "unknown label").otherwise("undeclared").alias("problem"))

@@ -69,11 +69,7 @@ def impact_page(s, d):
 
 def impact_ambiguous(s, d):
     """Node names with several candidates, with their number and the 20 lowest ids."""
-    from ..operators.windows import first_n
-
-    nodes = current_nodes(s, d).filter("name is not null").select("name", "id")
-    many = nodes.groupBy("name").agg(F.count("*").alias("candidates")).filter("candidates > 1")
-    return first_n(nodes.join(many, "name"), ["name"], [F.asc("id")], 20)
+    return im.candidates(current_nodes(s, d)).filter("candidates > 1").select("name", "id", "candidates", "rank")
 
 
 def confidence_floor(s, d):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import mining, quality
-from ..operators.graph import cohesion, degree, expand, of_type, undirected
+from ..operators.graph import cohesion, degree, expand, of_type, two_hop_counts, undirected
 from ..operators.windows import first_n
 from ..runtime import table
 from .projection import CALLS_SQL, CONTAINS_SQL, CURRENT_SQL, NODES_SQL, SUPPLIES_SQL, calls, contains, current_nodes, graph_nodes, supplies
@@ -102,11 +102,12 @@ def inter_group_edges(s, d):
 
 def group_edges_in_out(s, d):
     """Edges within, out of and into the nations of ASIA."""
-    asia = table(s, d, "nation").join(table(s, d, "region").filter("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey", "left_semi").select("n_nationkey")
-    inside = [r.n_nationkey for r in asia.limit(1000).collect()]
-    a, b = F.col("src").isin(inside), F.col("dst").isin(inside)
+    asia = table(s, d, "nation").join(table(s, d, "region").filter("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey", "left_semi")
+    of = lambda end: asia.select(F.col("n_nationkey").alias(end), F.lit(True).alias(f"{end}_in"))
+    e = _nation_edges(s, d).join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    a, b = F.col("src_in").isNotNull(), F.col("dst_in").isNotNull()
     kind = F.when(a & b, "within").when(a & ~b, "out").when(~a & b, "in")
-    return _nation_edges(s, d).select(kind.alias("direction")).filter("direction is not null").groupBy("direction").agg(F.count("*").alias("n"))
+    return e.select(kind.alias("direction")).filter("direction is not null").groupBy("direction").agg(F.count("*").alias("n"))
 
 
 def not_in_drops_null(s, d):
@@ -145,11 +146,10 @@ def undirected_neighbours(s, d):
 
 
 def two_hop_chain(s, d):
-    """Orders that each supplier reaches over its parts; joined by the integer keys."""
+    """Orders that each supplier reaches over its parts."""
     li = table(s, d, "lineitem")
-    a, b = li.select("l_suppkey", "l_partkey").distinct(), li.select("l_partkey", "l_orderkey").distinct()
-    far = a.join(b, "l_partkey").select("l_suppkey", "l_orderkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    return far.select(F.concat(F.lit("Supplier:"), "l_suppkey").alias("src"), "n")
+    far = two_hop_counts(li.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), li.select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst")))
+    return far.select(F.concat(F.lit("Supplier:"), "src").alias("src"), "n")
 
 
 def optional_counts(s, d):
