@@ -90,54 +90,49 @@ def bfs(edges: DataFrame, anchors: DataFrame, *, up: bool = False, max_depth: in
 def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 10, *, tests: Column | None = None) -> DataFrame:
     """``found, hops, path``: the shortest directed path, of equally short ones the first in id order.
 
-    Layers of bare ids grow from both ends, the smaller one first, until they meet; then the layers are
-    cut to the nodes between, and the path is walked through them. Without a path: the furthest node
-    reached, as ``hops`` with the path to it and ``found`` false. ``tests`` is a condition on ``id``
-    of nodes that a path may not go through, such as test files.
+    Layers grow from both ends, the smaller one first, until they meet, so a path is half as long and
+    a hub near one end isn't gone through by the other. Each node has the first of its equally long
+    ways to its end. Without a path: the furthest node reached, as ``hops`` with the path to it and
+    ``found`` false. ``tests`` is a condition on ``id`` of nodes that a path may not go through, such as test files.
     """
     step = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     if tests is not None:
-        bad = step.select(F.col("dst").alias("id")).unionAll(step.select(F.col("src").alias("id"))).distinct().filter(tests).filter(~F.col("id").isin(source, target))
+        ends = step.select(F.col("dst").alias("id")).unionAll(step.select(F.col("src").alias("id"))).distinct()
+        bad = ends.filter(tests).filter(~F.col("id").isin(source, target))
         for end in ("src", "dst"):
             step = step.join(bad.withColumnRenamed("id", end), end, "left_anti")
     step = materialise(step.select("src", "dst"), "path-edges")
     spark = edges.sparkSession
-    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    done = lambda found, path: spark.createDataFrame([(found, len(path) - 1, path)], "found boolean, hops int, path array<string>")
     if source == target:
-        return spark.createDataFrame([(True, 0, [source])], "found boolean, hops int, path array<string>")
-
-    def grow(layers: list[DataFrame], a: str, b: str) -> int:
-        new = layers[-1].join(step.withColumnRenamed(a, "id"), "id").select(F.col(b).alias("id")).distinct()
-        for old in layers:
-            new = new.join(old, "id", "left_anti")
+        return done(True, [source])
+    layers = [[spark.createDataFrame([(x, [x])], "id string, way array<string>")] for x in (source, target)]
+    sizes = [1, 1]
+
+    def grow(side: int) -> None:
+        a, b = ("dst", "src") if side else ("src", "dst")
+        new = layers[side][-1].join(step.withColumnRenamed(a, "id"), "id").groupBy(F.col(b).alias("id")).agg(F.min("way").alias("w"))
+        seen = layers[side][0].select("id")
+        for old in layers[side][1:]:
+            seen = seen.unionByName(old.select("id"))
+        new = new.join(seen, "id", "left_anti").select("id", (F.concat(F.array("id"), "w") if side else F.concat("w", F.array("id"))).alias("way"))
         new = materialise(new, "path")
-        n = new.count()
-        if n:
-            layers.append(new)
-        return n
-
-    ahead, back, sizes, met = [one(source)], [one(target)], [1, 1], None
-    while len(ahead) + len(back) - 2 < max_depth and min(sizes) and met is None:
-        side = int(sizes[1] < sizes[0])
-        sizes[side] = grow(back, "dst", "src") if side else grow(ahead, "src", "dst")
-        both = ahead[-1].join(back[-1], "id", "left_semi")
-        if sizes[side] and both.limit(1).count():
-            met = materialise(both, "path")
-    if met is None:
-        while sizes[0] and len(ahead) - 1 < max_depth:
-            sizes[0] = grow(ahead, "src", "dst")
-        met, back = ahead[-1], [ahead[-1]]
-    between = [met]  # the nodes of each place of all shortest paths
-    for layer in reversed(ahead[:-1]):
-        near = step.join(between[0].withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
-        between.insert(0, materialise(layer.join(near.distinct(), "id", "left_semi"), "path"))
-    for layer in reversed(back[:-1]):
-        near = step.join(between[-1].withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
-        between.append(materialise(layer.join(near.distinct(), "id", "left_semi"), "path"))
-    path = [source]
-    for place in between[1:]:  # one node a hop
-        path.append(step.filter(F.col("src") == path[-1]).join(place.withColumnRenamed("id", "dst"), "dst").agg(F.min("dst").alias("m")).first().m)
-    return spark.createDataFrame([(path[-1] == target, len(path) - 1, path)], "found boolean, hops int, path array<string>")
+        sizes[side] = new.count()
+        if sizes[side]:
+            layers[side].append(new)
+
+    def depth() -> int:
+        return len(layers[0]) + len(layers[1]) - 2
+
+    while depth() < max_depth and min(sizes):
+        grow(int(sizes[1] < sizes[0]))
+        there = layers[1][-1].select("id", F.slice("way", F.lit(2), F.size("way")).alias("rest"))
+        best = layers[0][-1].join(there, "id").agg(F.min(F.concat("way", "rest")).alias("p")).first().p if min(sizes) else None
+        if best is not None:
+            return done(True, best)
+    while sizes[0] and len(layers[0]) - 1 < max_depth:
+        grow(0)
+    return done(False, layers[0][-1].agg(F.min("way").alias("p")).first().p)
 
 
 def two_hop_counts(first: DataFrame, second: DataFrame) -> DataFrame:
