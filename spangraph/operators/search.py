@@ -39,6 +39,20 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     return scored.groupBy(key).agg(parts.alias("p")).select(key, F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x["s"]).alias("score"))
 
 
+def bm25_indexes(docs: DataFrame, key: str, fields: dict[str, float], query: list[str], k: int = 200) -> DataFrame:
+    """``key, score, best_field`` of a search over several indexes, one a text column with its weight.
+
+    Each index gives its k best, as a query of one index does, and a key has the best of its weighted
+    scores; of equal ones the first field in order counts.
+    """
+    out = None
+    for name, weight in fields.items():
+        hits = bm25(docs, key, name, query).select(key, (F.col("score") * weight).alias("score"), F.lit(name).alias("best_field"))
+        hits = hits.orderBy(F.desc("score"), key).limit(k)
+        out = hits if out is None else out.unionByName(hits)
+    return first_wins(out, [key], [F.desc("score"), F.asc("best_field")])
+
+
 def cosine_topk(vectors: DataFrame, key: str, vector: str, anchor: list[float], k: int, max_distance: float = 2.0) -> DataFrame:
     """``key, distance`` of the k nearest vectors within a distance, exact."""
     point = F.array(*[F.lit(float(x)) for x in anchor])

@@ -9,6 +9,7 @@ from ..model import check_types
 from .graph import bfs, components, of_type
 from .impact import risk
 from .resolution import overlapping
+from .search import bm25_indexes, ranked, rrf
 
 # The chain depths that a context may ask for.
 CHAIN_DEPTHS = (1, 2, 3)
@@ -102,3 +103,27 @@ def importers(edges: DataFrame, files: DataFrame, max_depth: int = 5, hub: int =
     rows, _ = bfs(e, files.select("id"), up=True, max_depth=max_depth)
     n = e.select(F.col("dst").alias("id"), "src").distinct().groupBy("id").agg(F.count("*").alias("n"))
     return rows.join(n, "id", "left").select("id", "depth", (F.coalesce("n", F.lit(0)) > hub).alias("hub"))
+
+
+def tool_map(tools: DataFrame, edges: DataFrame) -> DataFrame:
+    """``tool, name, handlers`` of every tool (``id, name``), by HANDLES_TOOL edges."""
+    by = of_type(edges, "HANDLES_TOOL").groupBy(F.col("dst").alias("tool")).agg(F.array_sort(F.collect_set("src")).alias("handlers"))
+    return tools.select(F.col("id").alias("tool"), "name").join(by, "tool", "left").withColumn("handlers", F.coalesce("handlers", F.array().cast("array<string>")))
+
+
+def query(nodes: DataFrame, edges: DataFrame, terms: list[str], *, k: int = 200, limit: int = 10, semantic: DataFrame | None = None) -> DataFrame:
+    """The answer to a search: the best definitions, each once, with who calls them.
+
+    ``id, name, label, file_path, score, rank, n_callers``. Names, descriptions and contents are
+    searched as three indexes and a node has its best score of them; with ``semantic``
+    (``id, rank``) both lists are fused by their ranks.
+    """
+    hits = bm25_indexes(nodes, "id", {"name": 1.0, "description": 1.0, "content": 1.0}, terms, k)
+    top = ranked(hits.orderBy(F.desc("score"), "id").limit(k), [F.desc("score"), F.asc("id")])
+    if semantic is None:
+        best = top.filter(F.col("rank") <= limit).select("id", "score", "rank")
+    else:
+        best = rrf(top, semantic, "id", limit).select("id", "score", "rank")
+    callers = of_type(edges, "CALLS").select(F.col("dst").alias("id"), "src").distinct().join(best.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("n_callers"))
+    found = best.join(nodes.select("id", "name", "label", "file_path"), "id").join(callers, "id", "left").fillna(0, ["n_callers"])
+    return found.select("id", "name", "label", "file_path", "score", "rank", "n_callers")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["incremental", "relational", "graph", "search", "changes", "program"]
+SUBJECTS = ["incremental", "relational", "graph", "search", "changes", "program", "tools"]
 
 
 def catalogue() -> tuple[dict, dict]:
