@@ -161,6 +161,15 @@ def write_set_expand(s, d):
     return df.write_set(e, c.unionByName(p), changed)
 
 
+def write_set_all(s, d):
+    """The same over the edges of all orders."""
+    c = table(s, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_nationkey").alias("file"))
+    p = table(s, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.col("s_nationkey").alias("file"))
+    e = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst"), F.lit("CALLS").alias("type"))
+    changed = table(s, d, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("file"))
+    return df.write_set(e, c.unionByName(p), changed)
+
+
 def subgraph_extract(s, d):
     nodes = table(s, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_nationkey").alias("file_path"))
     e = table(s, d, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("O"), "o_orderkey").alias("dst"))
@@ -229,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         contract_normalise, contract_exact, contract_wildcard, contract_unmatched, contract_dedupe, route_normalise, route_match, middleware_match, shape_mismatch, api_impact,
-        hash_diff, hash_diff_back, record_diff, definition_diff, write_set_expand, subgraph_extract, reconcile, embedding_reuse, hunk_symbol_overlap, path_suffix_match,
+        hash_diff, hash_diff_back, record_diff, definition_diff, write_set_expand, write_set_all, subgraph_extract, reconcile, embedding_reuse, hunk_symbol_overlap, path_suffix_match,
         stream_refresh, events_hourly, user_sessions,
     ]
 }
@@ -300,6 +309,8 @@ ORACLE = {
     "write_set_expand": """with e as (select distinct c_nationkey as a, s_nationkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
           where o_totalprice > 480000 and c_nationkey <> s_nationkey), ch as (select n_nationkey as k from nation where n_regionkey = 2)
         select k as file from ch union select b from e where a in (from ch) union select a from e where b in (from ch)""",
+    "write_set_all": """with e as (select distinct c_nationkey as a, s_nationkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey),
+          ch as (select n_nationkey as k from nation where n_regionkey = 2) select k as file from ch union select b from e where a in (from ch) union select a from e where b in (from ch)""",
     "subgraph_extract": """select 'C' || o_custkey as src, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_regionkey = 3 group by 1""",
     "reconcile": f"""with {CURRENT_SQL}, st as (select id, count(*) as n from nodes where id is not null group by 1)
         select id, 'duplicated' as problem from cur join st using (id) where n > 1""",

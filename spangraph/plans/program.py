@@ -165,7 +165,26 @@ _UP = """up as (
   select 'Customer:' || c_custkey as type, 'Nation:' || c_nationkey as p1, 'Region:' || n_regionkey as p2, 'World:0' as p3 from customer join nation on c_nationkey = n_nationkey union all
   select 'Nation:' || n_nationkey, 'Region:' || n_regionkey, 'World:0', null from nation union all select 'Region:' || r_regionkey, 'World:0', null, null from region)"""
 
+CFG_SQL = """li as (select distinct 'Order:' || l_orderkey as fn, l_linenumber as n, l_returnflag as f, l_quantity as q from lineitem),
+la as (select fn, max(n) as last_ from li group by 1),
+cfg as (
+  select fn, n as a, n + 1 as b, case when f = 'R' then 'cond-false' else 'seq' end as kind from li union select fn, n, last_ + 1, 'cond-true' from li join la using (fn) where f = 'R'
+  union select fn, n, 1, 'loop-back' from li where q > 45 and n > 1 union select fn, 0, 1, 'seq' from la),
+blocks as (select fn, a as b from cfg union select fn, b from cfg)"""
+_DEPENDS = f"""{CFG_SQL}, exits as (select fn, b from blocks where (fn, b) not in (select fn, a from cfg)),
+t(fn, r, b) as (select e.fn, k.b, e.b from exits e join blocks k on k.fn = e.fn and k.b <> e.b union select t.fn, t.r, c.a from t join cfg c on c.fn = t.fn and c.b = t.b where c.a <> t.r),
+pd as (select x.fn, x.b as x, y.b from blocks x join blocks y using (fn) where x.b = y.b or not exists (select 1 from t where t.fn = x.fn and t.r = x.b and t.b = y.b)),
+cd as (select distinct c.fn as fn_id, c.a as src_block, p.x as dst_block, case kind when 'cond-true' then 'T' when 'cond-false' then 'F' else kind end as label from cfg c join pd p on p.fn = c.fn and p.b = c.b
+  where not exists (select 1 from pd q where q.fn = c.fn and q.b = c.a and q.x = p.x and q.x <> c.a))"""
+
 ORACLE = {
+    "control_dependence": f"with recursive {_DEPENDS} select * from cd",
+    "guard_clauses": f"""with recursive {_DEPENDS}, b as (select distinct 'Order:' || l_orderkey as fn_id, l_linenumber as src_block, l_returnflag as text from lineitem)
+        select fn_id, src_block as guard, text, array_to_string(list_sort(list_distinct(list(dst_block))), ',') as guarded from cd join b using (fn_id, src_block) group by 1, 2, 3""",
+    "reaching_defs": f"""with recursive {CFG_SQL}, v as (select distinct 'Order:' || l_orderkey as fn, l_linenumber as b, 'v' || (p_size % 3) as variable from lineitem join part on l_partkey = p_partkey),
+        r(fn, variable, d, b) as (select v.fn, v.variable, v.b, c.b from v join cfg c on c.fn = v.fn and c.a = v.b
+          union select r.fn, r.variable, r.d, c.b from r join cfg c on c.fn = r.fn and c.a = r.b where not exists (select 1 from v where v.fn = r.fn and v.b = r.b and v.variable = r.variable))
+        select r.fn as fn_id, r.variable, r.d as def_block, r.d::bigint as def_line, r.b as use_block, r.b::bigint as use_line from r join v on v.fn = r.fn and v.b = r.b and v.variable = r.variable""",
     "mro_bfs": f"with {_UP} select type, p1 as ancestor, 1 as position from up union all select type, p2, 2 from up where p2 is not null union all select type, p3, 3 from up where p3 is not null",
     "mro_c3": f"with {_UP} select type, concat_ws('>', type, p1, p2, p3) as mro from up",
     "dispatch_index": f"with {_UP}, a as (select p1 as super, type from up union all select p2, type from up where p2 is not null union all select p3, type from up where p3 is not null) select super, count(*)::int as n, min(type) as first_type from a group by 1",

@@ -151,6 +151,14 @@ _RRF = f"""with {_BM25}, {_COS},
   f as (select coalesce(k.key, v.key) as key, coalesce(k.s, 0) + coalesce(v.s, 0) as score, k.key is not null as in_keyword, v.key is not null as in_semantic from k full join v on k.key = v.key)"""
 
 ORACLE = {
+    "text_functions": r"""with d as (select *, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') as w from documents)
+        select doc_id, md5(regexp_replace(text, '[\r\n\t]', ' ', 'g')) as one_line, list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))) and length(x) >= 3)[1] as identifier,
+          case when text is not null then len(list_filter(range(1, least(length(text), 100) + 1), lambda i: strlen(substring(text, 1, i)) <= 100))::int end as in_100_bytes, floor(n_chars::double / 7 * 100.0::double + 0.5) / 100.0::double as seventh,
+          regexp_replace(regexp_replace(lower(coalesce(source, 'None Here')), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from d""",
+    "cjk_bigrams": r"""with d as (select doc_id, text, regexp_extract_all(text, '(?s).') as c from documents), k as (select *, list_transform(c, lambda x: x between chr(19968) and chr(40959)) as k, list_transform(c, lambda x: not regexp_matches(x, '[\s\x{0B}\p{Z}\x{FEFF}\x{4E00}-\x{9FFF}]')) as o from d)
+        select doc_id, case when text is not null then array_to_string(list_transform(c, lambda x, i:
+          case when (coalesce(o[i - 1], false) and k[i] and coalesce(k[i + 1], false)) or (i > 2 and coalesce(k[i - 2], false) and coalesce(k[i - 1], false) and o[i]) then ' ' else '' end
+          || case when i > 1 and coalesce(k[i - 1], false) and k[i] and coalesce(k[i + 1], false) then x || ' ' || x else x end), '') end as text from k""",
     "bm25_documents": f"with {_BM25} select doc_id, score from bm order by score desc, doc_id limit 200",
     "bm25_top3_by_source": f"""with {_BM25}, r as (select *, row_number() over (partition by source order by score desc, doc_id) as rank from bm where source is not null)
         select source, round(sum(score), 5) as score, list(doc_id order by rank) as ids from r where rank <= 3 group by 1""",

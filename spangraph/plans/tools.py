@@ -26,7 +26,7 @@ from ..operators import tools as to
 from ..operators.windows import first_n
 from ..runtime import materialise, table
 from .graph import _TRADE, _trade
-from .program import _accesses, _cfg  # noqa: F401
+from .program import CFG_SQL, _cfg
 from .projection import CONTAINS_SQL, CURRENT_SQL, NODES_SQL, SUPPLIES_SQL, contains, current_nodes, graph_nodes, supplies
 
 SYMBOLS = ["Function", "Method", "Class", "Interface"]
@@ -439,13 +439,6 @@ QUERIES = {
     ]
 }
 
-CFG_SQL = """li as (select distinct 'Order:' || l_orderkey as fn, l_linenumber as n, l_returnflag as f, l_quantity as q from lineitem),
-la as (select fn, max(n) as last_ from li group by 1),
-cfg as (
-  select fn, n as a, n + 1 as b, case when f = 'R' then 'cond-false' else 'seq' end as kind from li union select fn, n, last_ + 1, 'cond-true' from li join la using (fn) where f = 'R'
-  union select fn, n, 1, 'loop-back' from li where q > 45 and n > 1 union select fn, 0, 1, 'seq' from la),
-blocks as (select fn, a as b from cfg union select fn, b from cfg)"""
-
 ORACLE = {
     "context_symbols": f"""with {_CODE}, both_ as (select src as id, 'outgoing' as direction, type, dst as other from code_ union select dst, 'incoming', type, src from code_),
         f as (select distinct b.* from both_ b join sym on sym.id = b.id join (select distinct id as other from cur) using (other)),
