@@ -233,6 +233,59 @@ def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
     return rows.withColumn("cohesion", F.when(F.col("ends") == 0, F.lit(1.0)).otherwise(F.col("internal_ends") / F.col("ends")))
 
 
+# The reason of an edge that only a name suggests, and symbols beyond which a projection is a large one.
+NAME_GUESS, LARGE = "name-guess", 10_000
+
+
+def community_projection(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] = ("CALLS", "EXTENDS", "IMPLEMENTS"), large: int = LARGE) -> tuple[DataFrame, bool]:
+    """``src, dst``: the edges that communities are found on, each pair once, and whether it is a large projection.
+
+    Edges that a name suggests are left out. Nodes without an edge take no part, in a large projection
+    nodes with one neighbour neither, so leaves don't make up most of it.
+    """
+    symbols = nodes.filter("label in ('Function', 'Method', 'Class', 'Interface', 'Struct', 'Trait', 'Enum')").select("id")
+    is_large = symbols.limit(large + 1).count() > large
+    e = of_type(edges, *types).filter(F.coalesce("reason", F.lit("")) != NAME_GUESS).filter("src <> dst")
+    e = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    for end in ("src", "dst"):
+        e = e.join(symbols.withColumnRenamed("id", end), end, "left_semi")
+    e = e.select("src", "dst")
+    if is_large:
+        e = materialise(e, "projection")
+        few = degree(e).filter("degree = 1").select("id")
+        for end in ("src", "dst"):
+            e = e.join(few.withColumnRenamed("id", end), end, "left_anti")
+    return e.select("src", "dst"), is_large
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``modularity``: the share of edges within communities beyond what node degrees alone would give; one row.
+
+    ``edges`` are undirected pairs, ``members`` has ``id, community``.
+    """
+    m = members.select("id", "community")
+    ends = edges.join(m.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(m.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+    inside = ends.filter("a = b").groupBy(F.col("a").alias("community")).agg(F.count("*").alias("inside"))
+    degrees = ends.select(F.explode(F.array("a", "b")).alias("community")).groupBy("community").agg(F.count("*").alias("ends"))
+    total = ends.agg(F.count("*").alias("m"))
+    part = F.coalesce("inside", F.lit(0)) / F.col("m") - (F.col("ends") / (2 * F.col("m"))) ** 2
+    # the total is one row
+    return degrees.join(inside, "community", "left").join(F.broadcast(total)).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("modularity"))
+
+
+def community_labels(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``community, label``: the commonest folder of a community's files, of equally common ones the first; its name where no member has a file."""
+    folder = F.element_at(F.split(F.regexp_replace("file_path", r"/?[^/]*$", ""), "/"), -1)
+    named = members.join(nodes.select("id", folder.alias("folder")).filter("folder <> ''"), "id").groupBy("community", "folder").agg(F.count("*").alias("n"))
+    best = named.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "folder")).alias("b"))
+    return members.select("community").distinct().join(best, "community", "left").select("community", F.coalesce("b.folder", F.col("community").cast("string")).alias("label"))
+
+
+def process_budget(symbols: int) -> int:
+    """How many processes are looked for: a tenth of the symbols, at least 20; halves go up."""
+    return max(20, int(symbols / 10 + 0.5))
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """``id, community`` by synchronous label propagation, ties to the least label; the reference's Leiden differs.
 

@@ -168,3 +168,59 @@ def boundary_pairs(edges: DataFrame, labels: DataFrame, declared: DataFrame) ->
         marked = marked.join(known.select(F.col("label").alias(end), F.lit(True).alias(f"{end}_known")), end, "left")
     unknown = F.col("from_label_known").isNull() | F.col("to_label_known").isNull()
     return marked.filter("ok is null").select("from_label", "to_label", "n", F.when(unknown, "unknown label").otherwise("undeclared").alias("problem"))
+
+
+# Labels that a type reference may mean, and origins of bindings that count as certain.
+TYPE_LABELS = ["Class", "Protocol", "Category", "Interface", "Enum", "Struct", "Union", "Trait", "TypeAlias", "Typedef", "Record", "Delegate", "Annotation", "Template"]
+CERTAIN = ["local", "import", "namespace", "reexport"]
+
+
+def type_references(references: DataFrame, bindings: DataFrame, scopes: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``ref, id``: the one type that each reference can mean; nothing is guessed, so ambiguous ones have no row.
+
+    ``references`` has ``ref, name, scope``, ``bindings`` has ``name, scope, id, label, origin``,
+    ``scopes`` has ``scope, ancestors`` (the scope itself first), ``definitions`` has ``id,
+    qualified_name, label``. The nearest scope that binds the name claims it, with types or not. A
+    dotted name that no scope claims, nor its first part, is looked up as a qualified name.
+    """
+    up = references.join(scopes, "scope").select("ref", "name", F.posexplode("ancestors").alias("distance", "at"))
+    root = F.substring_index("name", ".", 1)
+    asked = up.select("ref", "distance", "at", "name", F.lit(False).alias("root")).unionByName(up.filter(root != F.col("name")).select("ref", "distance", "at", root.alias("name"), F.lit(True).alias("root")))
+    hits = asked.join(bindings.select("name", F.col("scope").alias("at"), "id", "label", "origin"), ["name", "at"])
+    claimed = hits.select("ref").distinct()
+    near = hits.filter("not root").withColumn("first", F.min("distance").over(Window.partitionBy("ref"))).filter("distance = first")
+    fit = near.filter(F.col("label").isin(TYPE_LABELS) & F.col("origin").isin(CERTAIN))
+    lexical = fit.groupBy("ref").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1").select("ref", "id")
+    dotted = references.filter(F.col("name").contains(".")).join(claimed, "ref", "left_anti").select("ref", F.col("name").alias("qualified_name"))
+    types = definitions.filter(F.col("label").isin(TYPE_LABELS)).select("qualified_name", "id").distinct()
+    qualified = dotted.join(types, "qualified_name").groupBy("ref").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select("ref", "id")
+    return lexical.unionByName(qualified)
+
+
+def reconcile_ownership(edges: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ownership edges with one owner a member, the smallest that holds it, and those that were dropped.
+
+    ``edges`` has ``src, dst, type``, ``spans`` has ``id, file, start_line, end_line``. An owner in
+    another file, or one that doesn't hold the member, yields to one that does; of equals the first counts.
+    """
+    own = edges.filter("type in ('HAS_METHOD', 'HAS_PROPERTY')")
+    a = spans.select(F.col("id").alias("src"), F.col("file").alias("a_file"), F.col("start_line").alias("a_start"), F.col("end_line").alias("a_end"))
+    b = spans.select(F.col("id").alias("dst"), F.col("file").alias("b_file"), F.col("start_line").alias("b_start"))
+    held = own.join(a, "src", "left").join(b, "dst", "left")
+    outside = ~F.coalesce((F.col("a_file") == F.col("b_file")) & F.col("b_start").between(F.col("a_start"), F.col("a_end")), F.lit(False))
+    order = [F.asc(outside), F.asc_nulls_last(F.col("a_end") - F.col("a_start")), F.asc("src"), F.asc("type")]
+    kept = first_wins(held, ["dst"], order).select(*edges.columns)
+    return kept, own.select(*edges.columns).join(kept.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti").select(*edges.columns)
+
+
+def rename_preview(definition: str, new_name: str, definitions: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file, line, col, old, new``: the places a rename writes, and ``id, file, line`` of what has the new name in a file that it touches.
+
+    ``definitions`` has ``id, name, file, line, col``; ``references`` has ``target, file, line, col``.
+    """
+    own = definitions.filter(F.col("id") == definition)
+    uses = references.filter(F.col("target") == definition).select("file", "line", "col", F.col("target").alias("id"))
+    places = own.select("file", "line", "col", "id").unionByName(uses).distinct().join(own.select("id", F.col("name").alias("old")), "id")
+    edits = places.select("file", "line", "col", "old", F.lit(new_name).alias("new"))
+    clashes = definitions.filter(F.col("name") == new_name).join(edits.select("file").distinct(), "file", "left_semi")
+    return edits.orderBy("file", "line", "col"), clashes.select("id", "file", "line")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import check_types
-from .graph import bfs, components, of_type
+from .graph import bfs, components, of_type, shortest_path
 from .impact import risk
+from .quality import is_test_file
 from .resolution import overlapping
 from .search import bm25_indexes, ranked, rrf
 
@@ -127,3 +128,68 @@ def query(nodes: DataFrame, edges: DataFrame, terms: list[str], *, k: int = 200,
     callers = of_type(edges, "CALLS").select(F.col("dst").alias("id"), "src").distinct().join(best.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("n_callers"))
     found = best.join(nodes.select("id", "name", "label", "file_path"), "id").join(callers, "id", "left").fillna(0, ["n_callers"])
     return found.select("id", "name", "label", "file_path", "score", "rank", "n_callers")
+
+
+def symbol_cards(nodes: DataFrame, edges: DataFrame, steps: DataFrame, ids: DataFrame, *, per_type: int = 30) -> DataFrame:
+    """A symbol's whole context, one row each: ``id, name, label, incoming, outgoing, processes, routes, properties``.
+
+    ``incoming`` and ``outgoing`` map a relation type to its first neighbours, ``processes`` are the
+    flows (``steps``: ``id, process, step``) it is a step of, with its place, ``routes`` those that it or its
+    file handles, ``properties`` the typed ones: complexity, sloc and exported as text by name.
+    """
+    want = ids.select("id").distinct()
+    around = context(nodes.select("id", "name"), edges, want, per_type=per_type)
+    side = lambda d: around.filter(F.col("direction") == d).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "neighbours")))).alias(d))
+    flow = steps.join(want, "id", "left_semi").groupBy("id", "process").agg(F.min("step").alias("step"))
+    flow = flow.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("process", "step"))).alias("processes"))
+    handled = of_type(edges, "HANDLES_ROUTE").select(F.col("src").alias("handler"), F.col("dst").alias("route"))
+    homes = want.select("id", F.col("id").alias("handler")).unionByName(of_type(edges, "DEFINES").select(F.col("dst").alias("id"), F.col("src").alias("handler")).join(want, "id", "left_semi"))
+    routes = homes.join(handled, "handler").groupBy("id").agg(F.array_sort(F.collect_set("route")).alias("routes"))
+    typed = [c for c in ("complexity", "sloc", "is_exported") if c in nodes.columns]
+    props = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, typed)), F.array(*[F.col(c).cast("string") for c in typed])), lambda k, v: v.isNotNull())
+    rows = nodes.join(want, "id", "left_semi").select("id", "name", "label", props.alias("properties"))
+    for part in (side("incoming"), side("outgoing"), flow, routes):
+        rows = rows.join(part, "id", "left")
+    return rows.select("id", "name", "label", "incoming", "outgoing", "processes", "routes", "properties")
+
+
+# The depth of a trace if none is asked for, and the greatest one.
+TRACE_DEPTH, MOST_TRACE = 10, 30
+
+
+def trace(nodes: DataFrame, edges: DataFrame, source: str, target: str, *, depth: int = TRACE_DEPTH, with_tests: bool = False) -> DataFrame:
+    """``found, hops, path``: the shortest way by calls and methods, not through test files unless asked for."""
+    e = of_type(edges, "CALLS", "HAS_METHOD")
+    if not with_tests:
+        bad = nodes.filter(is_test_file(F.col("file_path")) & ~F.col("id").isin(source, target)).select("id")
+        for end in ("src", "dst"):
+            e = e.join(bad.withColumnRenamed("id", end), end, "left_anti")
+    return shortest_path(e.select("src", "dst"), source, target, max_depth=min(max(depth, 1), MOST_TRACE))
+
+
+# Fixed value: bytes that count as one token of an answer.
+TOKEN_BYTES = 4
+
+
+def fit_budget(rows: DataFrame, order: list[str], max_tokens: int) -> tuple[DataFrame, bool]:
+    """The first rows of an answer, in order, whose JSON fits a number of tokens, and whether any was left out.
+
+    For answers that are already cut to a page: all rows are added up in one window.
+    """
+    size = F.octet_length(F.to_json(F.struct(*rows.columns))) + 1
+    summed = rows.withColumn("_bytes", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    kept = summed.filter(F.col("_bytes") <= max_tokens * TOKEN_BYTES).drop("_bytes")
+    return kept, summed.filter(F.col("_bytes") > max_tokens * TOKEN_BYTES).limit(1).count() > 0
+
+
+def compact_lines(rows: DataFrame, section: str) -> DataFrame:
+    """``section, line``: rows as short text, ``name=value`` pairs without those that are null or empty."""
+    pairs = [F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))]
+    return rows.select(F.lit(section).alias("section"), F.concat_ws(" ", *pairs).alias("line"))
+
+
+def schema_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table, position, column, type`` of the given tables."""
+    rows = [(t, i, f.name, f.dataType.simpleString()) for t, df in sorted(tables.items()) for i, f in enumerate(df.schema.fields)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table string, position int, column string, type string")

@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs, extract
-from ..functions import text as tx
 from ..operators import contracts as co
 from ..operators import diff as df
 from ..operators import graph as g
-from ..operators import hierarchy as hi
 from ..operators import impact as im
 from ..operators import maintenance as mt
 from ..operators import pdg
@@ -22,12 +20,13 @@ from ..operators import resolution as rs
 from ..operators import routes as ro
 from ..operators import search as se
 from ..operators import structure as st
+from ..operators import taint as ta
 from ..operators import tools as to
-from ..operators.windows import first_n
 from ..runtime import materialise, table
 from .graph import _TRADE, _trade
 from .program import CFG_SQL, _cfg
-from .projection import CONTAINS_SQL, CURRENT_SQL, NODES_SQL, SUPPLIES_SQL, contains, current_nodes, graph_nodes, supplies
+from .program import ORACLE as PROGRAM
+from .projection import CURRENT_SQL, SUPPLIES_SQL, contains, current_nodes, supplies
 
 SYMBOLS = ["Function", "Method", "Class", "Interface"]
 
@@ -429,9 +428,80 @@ def definition_changes(s, d):
     return changes.filter("change in ('SignatureChanged', 'VisibilityChanged', 'BodyChanged')").groupBy("file", "change").agg(F.count("*").alias("n"), F.count(F.when(F.col("breaking"), 1)).alias("breaking"))
 
 
+def _reasoned(s, d) -> DataFrame:
+    return _code_edges(s, d).withColumn("reason", F.when(F.length("dst") % 4 == 0, "name-guess").otherwise("resolved"))
+
+
+def community_edges(s, d):
+    """The edges that communities of symbols are found on, without guessed ones; leaves only in a small projection."""
+    e, large = g.community_projection(current_nodes(s, d).select("id", "label").distinct(), _reasoned(s, d), types=("CALLS", "HAS_METHOD"), large=60)
+    return e.withColumn("large", F.lit(large))
+
+
+def folder_modularity(s, d):
+    """How much of the calls stays within repositories beyond chance."""
+    e = _code_edges(s, d).filter("type = 'CALLS'").select("src", "dst").distinct()
+    return g.modularity(e, _symbols(s, d).select("id", F.col("repo").alias("community"))).select(F.round("modularity", 6).alias("modularity"))
+
+
+def community_names(s, d):
+    """Repositories as communities, named by their commonest folder."""
+    n = _symbols(s, d)
+    return g.community_labels(n.select("id", F.col("repo").alias("community")), n.select("id", "file_path"))
+
+
+def symbol_cards(s, d):
+    """Every symbol's whole context in one row: relation types, flows, routes and typed properties."""
+    n = current_nodes(s, d).select("id", "name", "label", "complexity", "sloc", "is_exported")
+    m = _symbols(s, d)
+    steps = m.select("id", F.col("repo").alias("process"), F.coalesce("start_line", F.lit(0)).alias("step"))
+    c = to.symbol_cards(n, materialise(_code_edges(s, d), "code-edges"), steps, m, per_type=2)
+    types = lambda x: F.coalesce(F.array_join(F.array_sort(F.map_keys(x)), ","), F.lit(""))
+    return c.select(
+        "id", types("incoming").alias("incoming"), types("outgoing").alias("outgoing"), F.concat(F.col("processes")[0]["process"], F.lit("@"), F.col("processes")[0]["step"]).alias("process"),
+        F.coalesce(F.size("routes"), F.lit(0)).alias("routes"), F.col("properties")["complexity"].alias("complexity"), F.col("properties")["is_exported"].alias("exported"),
+    )
+
+
+def taint_findings(s, d):
+    """What reaches a sink, and what a sanitizer stops, by kinds; lines stand for statements."""
+    li = table(s, d, "lineitem").select(F.concat(F.lit("Order:"), "l_orderkey").alias("fn_id"), F.col("l_linenumber").cast("long").alias("line"), "l_returnflag", "l_linestatus", "l_discount").distinct()
+    flows = li.select("fn_id", F.lit("v").alias("variable"), F.col("line").alias("def_line"), (F.col("line") + 1).alias("use_line"))
+    role = lambda cond, name, kinds: li.filter(cond).select("fn_id", "line", F.lit(name).alias("role"), F.array(*map(F.lit, kinds)).alias("kinds"))
+    matched = role("l_returnflag = 'R'", "source", ["sql", "path"]).unionByName(role("l_linestatus = 'O'", "sink", ["sql"])).unionByName(role("l_discount >= 0.08", "sanitizer", ["sql"]))
+    return ta.findings(flows, matched.distinct())
+
+
+def explained_paths(s, d):
+    """The taint between nations in words."""
+    from .program import taint_paths
+
+    e = taint_paths(s, d).select(F.col("source").alias("src"), F.col("fn").alias("dst"), F.lit("TAINT_PATH").alias("type"), "reason")
+    return ta.explain(e, limit=100_000)
+
+
+def claimed_types(s, d):
+    """The type that each function means by the name of a class or interface of its file."""
+    n = _symbols(s, d).filter("name is not null")
+    b = n.select("name", F.col("file").alias("scope"), "id", "label", F.lit("local").alias("origin"))
+    t = n.filter("label in ('Class', 'Interface')").select("file", F.col("name").alias("t"))
+    f = n.filter("label = 'Function'").join(t, "file").select(F.concat_ws(">", "id", "t").alias("ref"), F.col("t").alias("name"), F.col("file").alias("scope")).distinct()
+    scopes = n.select(F.col("file").alias("scope"), F.array("file", "repo").alias("ancestors")).distinct()
+    return rs.type_references(f, b, scopes, n.select("id", F.concat_ws(".", "repo", "name").alias("qualified_name"), "label"))
+
+
+def one_owner(s, d):
+    """Each method with the smallest class of its file that holds it, else the smallest of its file."""
+    n = _symbols(s, d)
+    every = n.filter("label = 'Class'").select(F.col("id").alias("src"), "file").join(n.filter("label = 'Method'").select(F.col("id").alias("dst"), "file"), "file").select("src", "dst", F.lit("HAS_METHOD").alias("type"))
+    kept, _ = rs.reconcile_ownership(every, n.select("id", "file", "start_line", "end_line"))
+    return kept.select("src", "dst")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
+        community_edges, folder_modularity, community_names, symbol_cards, taint_findings, explained_paths, claimed_types, one_owner,
         context_symbols, chain_callers, changed_symbols, untouched_hunks, route_map, tool_map, importers, circular_imports, group_impact, augmented_names, query_symbols, path_tails, longest_roots, enclosing_owner, lexical_names,
         registry_names, ownership, import_edges, destinations, function_cfgs, older_references, orm_queries, tool_definitions, entry_point_links, kept_locals, link_dedupe, fan_out_kept, fan_out_dropped, noisy_contracts, shadow_paths,
         regrouped_files, drifted_config, touched_labels, stale_repos, run_completeness, relation_probe, embedding_texts, facts_digest, middleware_chains, folded_constants, declared_routes, mounted_routes, file_routes, block_idoms,
@@ -440,6 +510,30 @@ QUERIES = {
 }
 
 ORACLE = {
+    "community_edges": f"""with {_CODE}, s as (select distinct id from cur where label in ('Function', 'Method', 'Class', 'Interface')), l as (select count(*) > 60 as large from s),
+        e as (select distinct least(src, dst) as src, greatest(src, dst) as dst from code_ where type in ('CALLS', 'HAS_METHOD') and length(dst) % 4 <> 0 and src <> dst and src in (from s) and dst in (from s)),
+        few as (select id from (select src as id from e union all select dst from e) group by 1 having count(*) = 1) select src, dst, large from e, l where not (large and (src in (from few) or dst in (from few)))""",
+    "folder_modularity": f"""with {_CODE}, e as (select distinct src, dst from code_ where type = 'CALLS'), x as (select a.repo as a, b.repo as b from e join sym a on a.id = src join sym b on b.id = dst), t as (select count(*) as m from x),
+        k as (select c, count(*) as ends from (select a as c from x union all select b from x) group by 1), i as (select a as c, count(*) as inside from x where a = b group by 1)
+        select round(coalesce(sum(coalesce(inside, 0)::double / m - pow(ends::double / (2 * m), 2)), 0), 6) as modularity from k left join i using (c), t""",
+    "community_names": f"""with {_CODE}, f as (select repo, regexp_replace(file_path, '/?[^/]*$', '') as p from sym), n as (select repo, string_split(p, '/')[-1] as folder, count(*) as n from f where string_split(p, '/')[-1] <> '' group by 1, 2)
+        select repo as community, coalesce(arg_min(folder, struct_pack(n := -n, f := folder)), repo) as label from (select distinct repo from sym) left join n using (repo) group by 1, repo""",
+    "symbol_cards": f"""with {_CODE}, ids as (select distinct id from cur), o as (select src as id, string_agg(distinct type, ',' order by type) as t from code_ where dst in (from ids) group by 1), i as (select dst as id, string_agg(distinct type, ',' order by type) as t from code_ where src in (from ids) group by 1),
+        h as (select d.dst as id, count(distinct r.dst) as n from code_ d join code_ r on r.type = 'HANDLES_ROUTE' and r.src = d.src where d.type = 'DEFINES' group by 1)
+        select id, coalesce(i.t, '') as incoming, coalesce(o.t, '') as outgoing, repo || '@' || coalesce(sym.start_line, 0) as process, coalesce(h.n, 0)::int as routes, cur.complexity::varchar as complexity, sym.is_exported::varchar as exported
+        from sym join cur using (id, repo) left join i using (id) left join o using (id) left join h using (id)""",
+    "taint_findings": """with recursive li as (select distinct 'Order:' || l_orderkey as fn_id, l_linenumber as line, l_returnflag as f, l_linestatus as st, l_discount as di from lineitem),
+        t(fn_id, source_line, line) as (select distinct fn_id, line, line from li where f = 'R'
+          union select t.fn_id, t.source_line, t.line + 1 from t join (select distinct fn_id, line from li) x on x.fn_id = t.fn_id and x.line = t.line
+            where not exists (select 1 from li c where c.fn_id = t.fn_id and c.line = t.line + 1 and c.di >= 0.08))
+        select distinct t.fn_id, source_line, t.line, 'sql' as kind, (t.line - source_line)::int as hops, 'TAINTED' as edge from t join li on li.fn_id = t.fn_id and li.line = t.line and st = 'O' where t.line > source_line
+        union all select distinct t.fn_id, source_line, t.line + 1, 'sql', (t.line + 1 - source_line)::int, 'SANITIZES' from t join li here on here.fn_id = t.fn_id and here.line = t.line join li c on c.fn_id = t.fn_id and c.line = t.line + 1 and c.di >= 0.08""",
+    "explained_paths": PROGRAM["taint_paths"].replace("select source, fn, depth, '1;sql|' || source || ':1|' || fn || ':' || (depth + 1) || case when depth > 0 then ':c' else '' end as reason from m",
+        "select source as src, fn as dst, 'sql' as kind, source || '@1 > ' || fn || '@' || (depth + 1) as hops, false as cut from m"),
+    "claimed_types": f"""with {_CODE}, n as (select * from sym where name is not null), t as (select file, name, count(distinct id) as n, min(id) as id from n where label in ('Class', 'Interface') group by 1, 2)
+        select distinct f.id || '>' || t.name as ref, t.id from n f join t using (file) where f.label = 'Function' and t.n = 1""",
+    "one_owner": f"""with {_CODE} select c.id as src, m.id as dst from sym c join sym m using (file) where c.label = 'Class' and m.label = 'Method'
+        qualify row_number() over (partition by m.id order by not coalesce(m.start_line between c.start_line and c.end_line, false), c.end_line - c.start_line nulls last, c.id) = 1""",
     "context_symbols": f"""with {_CODE}, both_ as (select src as id, 'outgoing' as direction, type, dst as other from code_ union select dst, 'incoming', type, src from code_),
         f as (select distinct b.* from both_ b join sym on sym.id = b.id join (select distinct id as other from cur) using (other)),
         r as (select *, count(*) over (partition by id, direction, type) as n, row_number() over (partition by id, direction, type order by starts_with(other, 'File:'), other) as k from f)

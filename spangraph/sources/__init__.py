@@ -96,3 +96,36 @@ def group_config(spark: SparkSession, text: str) -> DataFrame:
     if not rows:
         raise ValueError("a group needs repos")
     return spark.createDataFrame([(r["repo"], r["path"], r["service"]) for r in rows], "repo string, path string, service string")
+
+
+# Relation types of program dependence, which are written apart from the graph.
+DEPENDENCE_TYPES = ["CFG", "CDG", "REACHING_DEF", "TAINTED", "SANITIZES", "TAINT_PATH"]
+
+
+def write_dependence(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write blocks and dependence edges, edges in one folder a type, and return the rest of the graph."""
+    block, dependence = F.col("label") == "BasicBlock", F.col("type").isin(DEPENDENCE_TYPES)
+    nodes.filter(block).write.mode("overwrite").parquet(f"{path}/blocks")
+    edges.filter(dependence).write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
+    return nodes.filter(~block), edges.filter(~dependence)
+
+
+# Files that make their folder a service.
+SERVICE_MARKS = ["package.json", "go.mod", "pom.xml", "build.gradle", "Cargo.toml", "pyproject.toml", "requirements.txt", "Dockerfile"]
+
+
+def service_roots(files: DataFrame, path: str = "path") -> DataFrame:
+    """``root, service``: folders with a file that marks a service; the service has the folder's name. The root folder is none."""
+    folder = F.regexp_replace(path, r"/?[^/]*$", "")
+    marked = files.filter(F.element_at(F.split(path, "/"), -1).isin(SERVICE_MARKS)).select(folder.alias("root")).filter("root <> ''").distinct()
+    return marked.select("root", F.element_at(F.split("root", "/"), -1).alias("service"))
+
+
+def thrift_contracts(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """``file, contract_id``: methods of the services in Thrift sources, under the namespace of the file if it has one."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/", " "), r"(?m)(//|#).*$", "")
+    space = F.regexp_extract(plain, r"(?m)^\s*namespace\s+\S+\s+([\w.]+)", 1)
+    services = F.arrays_zip(F.regexp_extract_all(plain, F.lit(r"service\s+(\w+)[^{]*\{([^}]*)\}"), F.lit(1)).alias("n"), F.regexp_extract_all(plain, F.lit(r"service\s+(\w+)[^{]*\{([^}]*)\}"), F.lit(2)).alias("b"))
+    rows = files.filter(F.col(path).endswith(".thrift")).select(F.col(path).alias("file"), space.alias("s"), F.explode(services).alias("z"))
+    rows = rows.select("file", F.when(F.col("s") != "", F.concat_ws(".", "s", "z.n")).otherwise(F.col("z.n")).alias("service"), F.explode(F.regexp_extract_all("z.b", F.lit(r"(\w+)\s*\([^()]*\)\s*(?:throws\s*\([^()]*\))?\s*[,;]?"), F.lit(1))).alias("method"))
+    return rows.filter("method <> 'throws'").select("file", F.concat(F.lit("thrift::"), "service", F.lit("/"), "method").alias("contract_id")).distinct()
