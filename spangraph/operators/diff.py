@@ -56,9 +56,15 @@ def definition_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     gone = both.filter("in_n is null").select("file", F.col("key").alias("o_key"), *[f"o_{c}" for c in cols])
     came = both.filter("in_o is null").select("file", F.col("key").alias("n_key"), *[f"n_{c}" for c in cols])
-    same_body = _masked(F.col("o_text"), F.col("o_name")) == _masked(F.col("n_text"), F.col("n_name"))
-    same_sig = (F.col("o_param_count") > 0) & (F.col("o_signature") == F.col("n_signature")) & (F.col("o_signature") != "")
-    cand = gone.join(came, (gone.file == came.file) & (F.col("o_label") == F.col("n_label")) & F.col("o_owner").eqNullSafe(F.col("n_owner")) & (same_body | same_sig)).drop(came.file)
+    # equal bodies and equal signatures are two joins on values, so a file with many definitions isn't compared pair by pair
+    key = lambda df, p, how: df.select(F.col("file"), F.col(f"{p}_label").alias("_l"), F.coalesce(f"{p}_owner", F.lit("")).alias("_w"), F.col(f"{p}_owner").isNull().alias("_n"), how.alias("_v"), f"{p}_key")
+    body = lambda p: F.sha2(_masked(F.col(f"{p}_text"), F.col(f"{p}_name")), 256)
+    signed = lambda p: F.when((F.col(f"{p}_signature") != ""), F.col(f"{p}_signature"))
+    on = ["file", "_l", "_w", "_n", "_v"]
+    by_body = key(gone, "o", body("o")).join(key(came, "n", body("n")), on)
+    by_sig = key(gone.filter("o_param_count > 0"), "o", signed("o")).join(key(came, "n", signed("n")), on)
+    pairs = by_body.unionByName(by_sig).select("file", "o_key", "n_key").distinct()
+    cand = pairs.join(gone, ["file", "o_key"]).join(came, ["file", "n_key"])
     one_o = cand.groupBy("file", "o_key").count().filter("count = 1").select("file", "o_key")
     one_n = cand.groupBy("file", "n_key").count().filter("count = 1").select("file", "n_key")
     renamed = cand.join(one_o, ["file", "o_key"], "left_semi").join(one_n, ["file", "n_key"], "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,15 +114,22 @@ def process_cards(hits: DataFrame, steps: DataFrame, *, per_process: int = 10) -
     return rows.withColumn("with_content", first)
 
 
-def augment(nodes: DataFrame, edges: DataFrame, pattern: str, *, symbols: int = 5, neighbours: int = 3) -> DataFrame:
-    """What surrounds the symbols that a pattern names: exact name first, else names that contain it.
+def augment(nodes: DataFrame, edges: DataFrame, pattern: str, *, symbols: int = 5, neighbours: int = 3, steps: DataFrame | None = None, cohesion: DataFrame | None = None) -> DataFrame:
+    """What surrounds the symbols that a pattern names: an exact name first, else a full-text search of names and descriptions, else names that contain it.
 
-    ``id, name, file_path, callers, callees, n_callers, n_callees``; neighbours that are files come last.
+    ``id, name, file_path, callers, callees, n_callers, n_callees``; neighbours that are files come last. With
+    ``steps`` (``id, process``) also ``processes``, the flows that a symbol is a step of. With ``cohesion``
+    (``id, cohesion``, that of a symbol's community) also ``place``, the rank by it, which is the order of the answer.
     """
-    name = F.coalesce(F.when(F.col("name") == pattern, 0), F.when(F.col("name").contains(pattern), 1))
-    found = nodes.filter(name.isNotNull()).select("id", "name", "file_path", name.alias("how"))
-    exact = found.filter("how = 0").limit(1).count()
-    hits = found.filter(F.col("how") == (0 if exact else 1)).orderBy("id").limit(symbols)
+    found = nodes.filter(F.col("name") == pattern).select("id", "name", "file_path")
+    if not found.limit(1).count():
+        terms = [t for t in re.findall(r"[^\W_]+", pattern.lower()) if t]
+        indexed = [c for c in ("name", "description") if c in nodes.columns]
+        ids = bm25_indexes(nodes, "id", dict.fromkeys(indexed, 1.0), terms, symbols).orderBy(F.desc("score"), "id").limit(symbols).select("id") if terms else nodes.select("id").limit(0)
+        found = nodes.join(ids, "id", "left_semi").select("id", "name", "file_path")
+        if not found.limit(1).count():
+            found = nodes.filter(F.col("name").contains(pattern)).select("id", "name", "file_path")
+    hits = found.orderBy("id").limit(symbols)
     calls = edges.filter("type = 'CALLS'").select("src", "dst").distinct()
     out = hits
     for label, own, other in (("callers", "dst", "src"), ("callees", "src", "dst")):
@@ -130,4 +139,10 @@ def augment(nodes: DataFrame, edges: DataFrame, pattern: str, *, symbols: int =
         top = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= neighbours)
         listed = top.groupBy(F.col(own).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(other).alias("o")))), lambda x: x["o"]).alias(label))
         out = out.join(listed, "id", "left").join(total, "id", "left").fillna(0, [f"n_{label}"])
-    return out.drop("how")
+    if steps is not None:
+        flows = steps.join(hits.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("process")).alias("processes"))
+        out = out.join(flows, "id", "left")
+    if cohesion is not None:
+        own = cohesion.join(hits.select("id"), "id", "left_semi").groupBy("id").agg(F.max("cohesion").alias("_c"))
+        out = ranked(out.join(own, "id", "left"), [F.desc_nulls_last("_c"), F.asc("id")], "place").drop("_c")
+    return out

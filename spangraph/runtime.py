@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What operators write within this block goes away at its end; results that are still needed have to be stored before."""
+    begin = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[begin:]:
+            remove(spark, path)
+        del _written[begin:]
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The Hadoop file system and path object of a URI."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -157,3 +157,35 @@ def test_mounts_nest_and_end(spark):
     assert rows(routes.mounted(r.filter("path is not null"), m)) == [("a", "/adm/:id"), ("a", "/v1/users/:id"), ("b", "/x")]
     loop = spark.createDataFrame([("users", "users", "/u")], "child string, parent string, prefix string")
     assert routes.mounted(r, loop, max_depth=3).filter("id = 'a'").count() == 0
+
+
+def test_fetches_meet_routes_by_their_first_literal_segment(spark):
+    urls = ["/a/1", "/[param]/x", "/[param]/[param]", "/a/b/c/d", "/[param]/b/c", "/", "/z", "/[param]/y/x"]
+    paths = ["/a/[id]", "/[t]/x", "/a/[...rest]", "/[t]/b/[[...rest]]", "/[...all]", "/", "/[[...opt]]", "/q/y/[z]", "/a/x"]
+    f = spark.createDataFrame([(u,) for u in urls], "url string")
+    r = spark.createDataFrame([(p,) for p in paths], "route string")
+    every = f.crossJoin(r).filter(routes.url_matches(F.col("url"), F.col("route")))  # a small fixture only
+    got = rows(routes.match_fetches(f, r), "url", "route")
+    assert got == rows(every, "url", "route") and len(got) > 20
+
+
+def test_augmentation_falls_back_to_text_and_orders_by_cohesion(spark):
+    nodes = spark.createDataFrame([("1", "load_rows", "reads a table", "f"), ("2", "x", "table of rows", "f"), ("3", "reader", None, "g")], "id string, name string, description string, file_path string")
+    edges = spark.createDataFrame([("2", "1", "CALLS"), ("3", "1", "CALLS")], "src string, dst string, type string")
+    steps = spark.createDataFrame([("1", "p"), ("1", "q"), ("2", "p")], "id string, process string")
+    cohesion = spark.createDataFrame([("1", 0.2), ("2", 0.9)], "id string, cohesion double")
+    got = {r.id: (r.n_callers, r.processes, r.place) for r in search.augment(nodes, edges, "table", steps=steps, cohesion=cohesion).collect()}
+    assert got == {"1": (2, ["p", "q"], 2), "2": (0, ["p"], 1)}
+    assert {r.id for r in search.augment(nodes, edges, "x").collect()} == {"2"} and {r.id for r in search.augment(nodes, edges, "eade").collect()} == {"3"} and search.augment(nodes, edges, "...").count() == 0
+
+
+def test_scratch_is_emptied(spark):
+    from pathlib import Path
+
+    from spangraph import runtime
+
+    with runtime.scratch():
+        df = runtime.materialise(spark.range(3), "x")
+        path = Path(runtime._written[-1][1].removeprefix("file://"))
+        assert df.count() == 3 and path.exists()
+    assert not path.exists()
