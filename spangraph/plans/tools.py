@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..functions import codecs, extract
 from ..operators import contracts as co
 from ..operators import diff as df
@@ -22,7 +23,7 @@ from ..operators import search as se
 from ..operators import structure as st
 from ..operators import taint as ta
 from ..operators import tools as to
-from ..runtime import materialise, table
+from ..runtime import materialise, table, working_path
 from .graph import _TRADE, _trade
 from .program import CFG_SQL, _cfg
 from .program import ORACLE as PROGRAM
@@ -498,9 +499,64 @@ def one_owner(s, d):
     return kept.select("src", "dst")
 
 
+# ---- sources and sinks, there and back
+
+
+def git_log_parse(s, d):
+    """The commits of each repository as the text of its log, parsed."""
+    c = table(s, d, "commits").filter("repo is not null and commit_id rlike '^[A-Za-z0-9]+$' and file rlike '^[A-Za-z0-9_./-]+$'").select("repo", "commit_id", "file").distinct()
+    one = c.groupBy("repo", "commit_id").agg(F.array_join(F.array_sort(F.collect_list("file")), "\r\n").alias("files"))
+    logs = one.select(F.concat(F.lit(sources.MARK), "commit_id", F.lit("\n\n"), "files", F.lit("\n")).alias("log"))
+    return sources.parse_git_log(logs)
+
+
+def edges_by_label(s, d):
+    """All edges of the code graph, written in one folder for each pair of labels and read again."""
+    path = working_path(s, "edges-by-label")
+    sources.write_edges_by_label(_code_edges(s, d), path)
+    back = s.read.option("header", True).csv(path)
+    return back.groupBy("from_label", "to_label", "type").agg(F.count("*").alias("n"), F.min("src").alias("first_src"))
+
+
+def contract_registry(s, d):
+    """Contracts of routes, written as a registry and read again."""
+    path = working_path(s, "registry")
+    r = current_nodes(s, d).filter("label = 'Route'")
+    none = F.lit(None).cast("string")
+    rows = r.select(F.concat(F.lit("http::"), "content").alias("contract_id"), F.lit("http").alias("type"), F.lit("provider").alias("role"), "repo", none.alias("service"), F.col("id").alias("symbol_uid"), "file_path", F.col("name").alias("symbol_name"), F.lit(0.9).alias("confidence"), F.lit("{}").alias("meta"))
+    sources.write_contracts(rows, path)
+    return sources.read_contracts(s, path).select("contract_id", "role", "repo", "service", "symbol_uid", "confidence")
+
+
+def markdown_links(s, d):
+    """Every scanned file links to itself, to the first file of its repository and to one that isn't there."""
+    f = table(s, d, "why_ignored_result").filter("repo is not null and path is not null").select("repo", F.concat_ws("/", "repo", "path").alias("path")).distinct()
+    f = f.join(f.groupBy("repo").agg(F.min("path").alias("first")), "repo")
+    text = F.concat(F.lit("see [a](./"), F.element_at(F.split("path", "/"), -1), F.lit(") and [b](/"), "first", F.lit("#part), not [c](../none.md) or [d](https://x.y/z)"))
+    return st.markdown_links(f.select("path", text.alias("text")))
+
+
+def response_shapes(s, d):
+    """Keys of the answers that a made-up handler of each route builds."""
+    r = current_nodes(s, d).filter("label = 'Route' and size(response_keys) > 0")
+    obj = lambda c: F.concat(F.lit("{ "), F.array_join(F.transform(c, lambda k: F.concat(k, F.lit(": { inner: 1 }"))), ", "), F.lit(" }"))
+    bad = F.coalesce("error_keys", F.array().cast("array<string>"))
+    text = F.concat(F.lit("if (!x) {\n  return res.status(404).json("), obj(F.concat(F.array(F.lit("message")), bad)), F.lit(");\n}\nreturn res.json("), obj(F.col("response_keys")), F.lit(");"))
+    k = extract.response_keys(r.select(F.col("id").alias("path"), text.alias("text")))
+    return k.select("path", F.array_join("response_keys", ",").alias("good"), F.array_join("error_keys", ",").alias("bad"))
+
+
+def config_links(s, d):
+    """Repositories as configurations that name all classes, with the symbols they mean."""
+    n = _symbols(s, d).filter("name is not null")
+    configs = n.filter("label = 'Class'").groupBy(F.col("repo").alias("module")).agg(F.collect_set("name").alias("names")).withColumn("id", F.concat(F.lit("cfg:"), "module"))
+    return mt.config_links(n.select("id", F.col("repo").alias("module"), F.col("name").alias("qualified_name")), configs)
+
+
 QUERIES = {
     f.__name__: f
     for f in [
+        git_log_parse, edges_by_label, contract_registry, markdown_links, response_shapes, config_links,
         community_edges, folder_modularity, community_names, symbol_cards, taint_findings, explained_paths, claimed_types, one_owner,
         context_symbols, chain_callers, changed_symbols, untouched_hunks, route_map, tool_map, importers, circular_imports, group_impact, augmented_names, query_symbols, path_tails, longest_roots, enclosing_owner, lexical_names,
         registry_names, ownership, import_edges, destinations, function_cfgs, older_references, orm_queries, tool_definitions, entry_point_links, kept_locals, link_dedupe, fan_out_kept, fan_out_dropped, noisy_contracts, shadow_paths,
@@ -510,6 +566,15 @@ QUERIES = {
 }
 
 ORACLE = {
+    "git_log_parse": "select commit_id, file from (select distinct repo, commit_id, file from commits where repo is not null and regexp_full_match(commit_id, '[A-Za-z0-9]+') and regexp_full_match(file, '[A-Za-z0-9_./-]+'))",
+    "edges_by_label": f"with {_CODE} select split_part(src, ':', 1) as from_label, split_part(dst, ':', 1) as to_label, type, count(*) as n, min(src) as first_src from code_ group by 1, 2, 3",
+    "contract_registry": f"with {CURRENT_SQL} select 'http::' || content as contract_id, 'provider' as role, repo, null as service, id as symbol_uid, 0.9::double as confidence from cur where label = 'Route'",
+    "markdown_links": """with f as (select distinct repo, repo || '/' || path as path from why_ignored_result where repo is not null and path is not null), m as (select repo, min(path) as first from f group by 1)
+        select path as file, first as target, 0.8::double as confidence from f join m using (repo) where path <> first""",
+    "response_shapes": f"""with {CURRENT_SQL} select id as path, array_to_string(list_transform(generate_series(1, len(u)), lambda i: u[i]), ',') as good, array_to_string(e, ',') as bad
+        from (select id, list_filter(response_keys, lambda x, i: list_position(response_keys, x) = i) as u, list_filter(list_prepend('message', coalesce(error_keys, [])), lambda x, i: list_position(list_prepend('message', coalesce(error_keys, [])), x) = i) as e
+          from cur where label = 'Route' and len(response_keys) > 0)""",
+    "config_links": f"""with {_CODE}, n as (select * from sym where name is not null), k as (select distinct repo, name from n where label = 'Class') select distinct 'cfg:' || repo as src, n.id as dst, 'CONFIGURES' as type from n join k using (repo, name)""",
     "community_edges": f"""with {_CODE}, s as (select distinct id from cur where label in ('Function', 'Method', 'Class', 'Interface')), l as (select count(*) > 60 as large from s),
         e as (select distinct least(src, dst) as src, greatest(src, dst) as dst from code_ where type in ('CALLS', 'HAS_METHOD') and length(dst) % 4 <> 0 and src <> dst and src in (from s) and dst in (from s)),
         few as (select id from (select src as id from e union all select dst from e) group by 1 having count(*) = 1) select src, dst, large from e, l where not (large and (src in (from few) or dst in (from few)))""",
