@@ -140,10 +140,18 @@ def advance(state: VersionedState, delivered: DataFrame, version: int | str, key
     return _apply(state, new, version, fingerprint(new), key, stamp[0], hash_, reuse)
 
 
-def current(state: VersionedState, manifest: dict, like: DataFrame, key: str) -> DataFrame | None:
-    """The greatest row ``now`` of each key as of a manifest, or None before the first; ``like`` has ``key, now``."""
+def current(state: VersionedState, manifest: dict, like: DataFrame, key: str, only: DataFrame | None = None) -> DataFrame | None:
+    """The greatest row ``now`` of each key as of a manifest, or None before the first; ``like`` has ``key, now``.
+
+    With ``only`` just the keys in it, so a small delivery is sent to the state and the state isn't shuffled.
+    """
     names = [*([manifest["base"]] if manifest["base"] else []), *manifest["deltas"]]
-    return state.read(names, like.select(key, "now").schema).groupBy(key).agg(F.max("now").alias("now")) if names else None
+    if not names:
+        return None
+    rows = state.read(names, like.select(key, "now").schema)
+    if only is not None:
+        rows = rows.join(only.select(key), key, "left_semi")
+    return rows.groupBy(key).agg(F.max("now").alias("now"))
 
 
 def _apply(state: VersionedState, new: DataFrame, version: int | str, print_: str, key: str, first: str, hash_: str, reuse: str) -> DataFrame:
@@ -158,7 +166,7 @@ def _apply(state: VersionedState, new: DataFrame, version: int | str, print_: st
         if done is None and run in applied and reuse != "apply":
             raise ValueError(f"run {run} was applied with other records")
         if done is None:
-            before = current(state, manifest, new, key)
+            before = current(state, manifest, new, key, only=new)
             if before is None:
                 moved = new.withColumn("changed", F.lit(1))
             else:
