@@ -32,6 +32,8 @@ from ..runtime import hadoop_path, materialise
 MANIFESTS = "MANIFESTS"
 #: Deltas that a state is read from; one more makes a run put them together into a new base.
 MOST_DELTAS = 8
+#: Delivered keys up to this number are sent to the state; with more of them the state is shuffled and joined.
+MOST_BROADCAST = 200_000
 #: How often a run starts again because another one was faster.
 MOST_TRIES = 20
 
@@ -143,7 +145,7 @@ def advance(state: VersionedState, delivered: DataFrame, version: int | str, key
 def current(state: VersionedState, manifest: dict, like: DataFrame, key: str, only: DataFrame | None = None) -> DataFrame | None:
     """The greatest row ``now`` of each key as of a manifest, or None before the first; ``like`` has ``key, now``.
 
-    With ``only`` just the keys in it, so a small delivery is sent to the state and the state isn't shuffled.
+    With ``only`` just the keys in it: a small delivery is sent to the state, and the state isn't shuffled.
     """
     names = [*([manifest["base"]] if manifest["base"] else []), *manifest["deltas"]]
     if not names:
@@ -166,7 +168,8 @@ def _apply(state: VersionedState, new: DataFrame, version: int | str, print_: st
         if done is None and run in applied and reuse != "apply":
             raise ValueError(f"run {run} was applied with other records")
         if done is None:
-            before = current(state, manifest, new, key, only=new)
+            few = int(print_.split(":")[0]) <= MOST_BROADCAST
+            before = current(state, manifest, new, key, only=F.broadcast(new.select(key)) if few else None)
             if before is None:
                 moved = new.withColumn("changed", F.lit(1))
             else:
