@@ -341,6 +341,32 @@ def test_c3(spark):
     assert bf == [(1, "B"), (2, "C"), (3, "A")]
 
 
+def test_injection_counts_against_brute_force(spark):
+    rnd = random.Random(5)
+    up = {("A", "B"), ("B", "C"), ("C", "D"), ("X", "B"), ("L", "M"), ("M", "L")}
+    over = {"A": "ABCD", "B": "BCD", "C": "CD", "D": "D", "X": "XBCD", "L": "LM", "M": "LM", "Z": "Z"}
+    ids, kinds, q = [f"i{k}" for k in range(12)], [*over, None], ["p", "q", None]
+    few = {k: rnd.choices(kinds, k=2) for k in ids}  # several consumers want the same, so they share their providers
+    c = [(rnd.choice([*ids, None]), rnd.choice("BCDLZ"), rnd.choice(q)) for _ in range(14)] + [(i, w, None) for i in ids[:6] for w in few[ids[0]]] + [("only", "Z", "self"), ("lonely", "W", None)]
+    p = [(rnd.choice([*ids, None]), rnd.choice(kinds), rnd.choice(q)) for _ in range(30)] + [("only", "Z", "self")]
+    pairs = {(a, b) for a, w, x in c for b, t, y in p if None not in (a, b, w, t) and a != b and w in over[t] and x in (None, y)}
+    want = sorted((a, len(bs), min(bs)) for a in {a for a, _ in pairs} for bs in [[b for s, b in pairs if s == a]])
+    consumers = spark.createDataFrame([(*x, 0.8) for x in c], "id string, wanted string, qualifier string, confidence double")
+    providers = spark.createDataFrame(p, "id string, type string, qualifier string")
+    parents = spark.createDataFrame([(*x, 0) for x in up], "type string, parent string, position int")
+    assert rows(hierarchy.injections(consumers, providers, parents), "src", "dst") == sorted(pairs)
+    assert rows(hierarchy.injection_counts(consumers, providers, parents)) == want
+    assert any(a == b for a, *_ in c for b, *_ in p) and any(len([x for x in c if x[0] == a]) > 1 for a in ids)
+
+
+def test_injection_counts_leave_out_the_consumer_itself_where_it_is_first(spark):
+    consumers = spark.createDataFrame([(i, "T", None, 0.8) for i in "abd"], "id string, wanted string, qualifier string, confidence double")
+    providers = spark.createDataFrame([(i, "T", None) for i in "abc"], "id string, type string, qualifier string")
+    parents = spark.createDataFrame([], "type string, parent string, position int")
+    assert rows(hierarchy.injection_counts(consumers, providers, parents)) == [("a", 2, "b"), ("b", 2, "a"), ("d", 3, "a")]
+    assert rows(hierarchy.injection_counts(consumers, providers.filter("id = 'a'"), parents)) == [("b", 1, "a"), ("d", 1, "a")]
+
+
 def brute_dominators(out, start):
     nodes = set(out) | {n for ns in out.values() for n in ns}
     def reach(skip):

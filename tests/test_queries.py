@@ -47,3 +47,27 @@ def test_core_does_not_import_the_optional_subpackage():
     for p in root.rglob("*.py"):
         if p.parent.name != "llm":
             assert not re.search(r"(from|import)\s+[.\w]*\bllm\b", p.read_text()), p
+
+
+def test_injections_shuffle_no_pairs(spark, tmp_path):
+    """300 suppliers and 2,000 customers of one region and segment are 600,000 pairs."""
+    for name, sql in {
+        "region": "select 0 as r_regionkey", "nation": "select 0 as n_nationkey, 0 as n_regionkey",
+        "supplier": "select id as s_suppkey, 0 as s_nationkey, 1.0D as s_acctbal from range(300)",
+        "customer": "select id as c_custkey, 0 as c_nationkey, 'BUILDING' as c_mktsegment from range(2000)",
+        "orders": "select id as o_orderkey, id as o_custkey from range(10)",
+    }.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._jvm.java.util.ArrayList()
+
+    def shuffled():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(none, False, False, context._gateway.new_array(context._jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    got = QUERIES["injections"](spark, str(tmp_path)).collect()
+    assert len(got) == 300 and {(r.n, r.first_dst) for r in got} == {(2000, "Customer:0")}
+    records = sum(n for i, n in shuffled().items() if i not in before)
+    assert 300 <= records < 60_000
